@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_importable
+
 #: Where scratch tables go when the session names no shared folder (tests, laptops).
 LOCAL_SCRATCH = "/tmp/checkpoints/geoloom"
 
@@ -43,6 +45,7 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ensure_importable(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
