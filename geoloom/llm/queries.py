@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, license_scan, token_counts
+from . import bpe_codec, decontamination, license_scan, pii, token_counts
 from .common import load
 
 
@@ -25,5 +25,9 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_license_scan, op6_bpe_codec)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_license_scan, op6_bpe_codec, op8_pii)}
 ORACLES: dict[str, str] = {"op5_license_scan": license_scan.oracle_sql()}
