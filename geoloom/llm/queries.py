@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, license_scan, pii, token_counts
+from . import bpe_codec, decontamination, license_scan, pii, token_counts, topk_search, toxicity
 from .common import load
 
 
@@ -25,9 +25,22 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score_texts(docs, toxicity.fit(docs, load(spark, sf_dir, "labels"))))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_license_scan, op6_bpe_codec, op8_pii)}
-ORACLES: dict[str, str] = {"op5_license_scan": license_scan.oracle_sql()}
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_license_scan, op6_bpe_codec, op7_toxicity, op8_pii, op9_topk_search)}
+ORACLES: dict[str, str] = {
+    "op5_license_scan": license_scan.oracle_sql(),
+    "op9_topk_search": topk_search.oracle_sql(),
+}
