@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,29 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import scratch_root, staged  # noqa: F401  (part of this module's interface)
 from ..session import ensure_importable
 
-#: Where scratch tables go when the session names no shared folder (tests, laptops).
-LOCAL_SCRATCH = "/tmp/checkpoints/geoloom"
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that every executor sees; only a session without one gets a local path."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df to a table of its own in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/geoloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch holds: few rows, and few bytes where Spark can count them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
