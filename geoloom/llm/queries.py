@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, license_scan, near_dedup, pii, token_counts, topk_search, toxicity
+from . import bpe_codec, decontamination, license_scan, lm_scoring, near_dedup, pii, token_counts, topk_search, toxicity
 from .common import load
 
 
@@ -21,6 +21,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_corpus(load(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan_licenses(load(spark, sf_dir, "documents")))
 
@@ -43,7 +47,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op5_license_scan, op6_bpe_codec, op7_toxicity, op8_pii, op9_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_lm_scoring, op5_license_scan, op6_bpe_codec, op7_toxicity, op8_pii, op9_topk_search)}
 ORACLES: dict[str, str] = {
     "op5_license_scan": license_scan.oracle_sql(),
     "op9_topk_search": topk_search.oracle_sql(),
