@@ -27,7 +27,7 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         pass
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     ensure_importable(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)

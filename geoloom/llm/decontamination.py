@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, record_batch
+from .common import map_arrow
 
 #: Bytes of benchmark text that one pass over the documents searches; more items make more passes.
 BLOCK_BYTES = 8 << 20
@@ -246,65 +247,83 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tu
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items array<string> (sorted), word_spans and char_spans
-    (flat arrays [start, end, ...] of merged removal spans).
+    (flat arrays [start, end, ...] of merged removal spans); with carry, first all columns of docs.
 
     Documents stream through narrow maps, one for each block of items: no shuffle, and what a task
     holds is one shard and one block.  Null texts have no words; empty items and null item texts
     match nothing; rows with the same item_id are one item; a null item_id is called null;
     repeated documents give repeated rows; empty tables and other columns are fine.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    extra = docs.columns if carry else []
+    key, text = F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("_text")
+    rows = docs.select(key, text, *(F.col(c).alias(f"x_{i}") for i, c in enumerate(extra)))
+    fields = [T.StructField(f"x_{i}", docs.schema[c].dataType) for i, c in enumerate(extra)]
     blocks = benchmark_blocks(benchmark, block_bytes)
-    block = next(blocks)
-    first = True
+    block, first = next(blocks), True
     while block is not None:
         following = next(blocks, None)
-        rows = map_arrow(rows, _pass(block, width, first, following is None), _MIDDLE if following is not None else _FINAL)
+        out = T._parse_datatype_string(_MIDDLE if following is not None else _FINAL)
+        rows = map_arrow(rows, _pass(block, width, first, following is None), T.StructType(out.fields + fields))
         first, block = False, following
-    return rows
+    found = ["n_words", "n_hit", "n_items", "items", "word_spans", "char_spans"]
+    return rows.select(*(F.col(f"x_{i}").alias(c) for i, c in enumerate(extra)), *found) if carry else rows.select(F.col("_doc_id").alias("doc_id"), *found)
 
 
-_MIDDLE = "doc_id long, text binary, spans array<int>, items array<string>"
-_FINAL = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, word_spans array<int>, char_spans array<int>"
+_MIDDLE = "_doc_id long, _text binary, _spans array<int>, _items array<string>"
+_FINAL = "_doc_id long, n_words long, n_hit long, n_items long, items array<string>, word_spans array<int>, char_spans array<int>"
 
 
 def _pass(block: list, width: int, first: bool, last: bool):
     ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
-    middle = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("spans", ints), ("items", strings)])
-    final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", strings), ("word_spans", ints), ("char_spans", ints)])
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(row[1] or b"")
+            if batch.num_rows:
+                n = batch.column(1).nbytes
                 if held and size + n > SHARD_BYTES:
-                    yield held
+                    yield pa.concat_batches(held)
                     held, size = [], 0
-                held.append(row)
+                held.append(batch)
                 size += n
         if held:
-            yield held
+            yield pa.concat_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wins = Windows(block, width)
-        for rows in shards(batches):
-            counts, spans, found = search_shard([r[1] or b"" for r in rows], wins)
+        for shard in shards(batches):
+            texts = [t or b"" for t in shard.column(1).to_pylist()]
+            counts, spans, found = search_shard(texts, wins)
             if not first:
-                for k, r in enumerate(rows):
-                    spans[k] = merged(spans[k] + list(zip(r[2][::2], r[2][1::2])))
-                    found[k].update(r[3])
-            flat = [[x for s in sp for x in s] for sp in spans]
+                for k, (s, i) in enumerate(zip(shard.column(2).to_pylist(), shard.column(3).to_pylist())):
+                    spans[k] = merged(spans[k] + list(zip(s[::2], s[1::2])))
+                    found[k].update(i)
+            flat, items = [[x for s in sp for x in s] for sp in spans], [sorted(f) for f in found]
             if last:
-                yield record_batch(final, [r[0] for r in rows], counts, [sum(b - a for a, b in sp) for sp in spans], [len(f) for f in found], [sorted(f) for f in found], flat, [char_spans(r[1] or b"", sp) for r, sp in zip(rows, spans)])
+                new = [("n_words", pa.array(counts, pa.int64())), ("n_hit", pa.array([sum(b - a for a, b in sp) for sp in spans], pa.int64())), ("n_items", pa.array(map(len, items), pa.int64())), ("items", pa.array(items, strings)), ("word_spans", pa.array(flat, ints)), ("char_spans", pa.array(map(char_spans, texts, spans), ints))]
             else:
-                yield record_batch(middle, [r[0] for r in rows], [r[1] for r in rows], flat, [sorted(f) for f in found])
+                new = [("_text", shard.column(1)), ("_spans", pa.array(flat, ints)), ("_items", pa.array(items, strings))]
+            carried = [(n, shard.column(k)) for k, n in enumerate(shard.schema.names) if n.startswith("x_")]
+            columns = [("_doc_id", shard.column(0)), *new, *carried]
+            yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
 
     return run
 
 
+def remove_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """docs with the removal spans cut out of their texts; other texts stay as they are."""
+    found = decontaminate(docs, benchmark, width, carry=True)
+    keep = """concat(array_join(transform(sequence(0, size(char_spans) div 2 - 1), i ->
+        substring(text, if(i = 0, 0, char_spans[greatest(2 * i - 1, 0)]) + 1, char_spans[2 * i] - if(i = 0, 0, char_spans[greatest(2 * i - 1, 0)]))), ''),
+        substring(text, char_spans[size(char_spans) - 1] + 1))"""
+    found = found.withColumn("text", F.when(F.col("n_hit") > 0, F.expr(keep)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query."""
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -246,6 +246,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest doc_id, once."""
+    dropped = near_duplicates(docs, width, num, den).where("not kept").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    alike = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text"))
+    return kept.withColumn("_copy", F.row_number().over(alike)).where("_copy = 1").select(docs.columns)
+
+
 def brute_force(docs: list[tuple], width: int, num: int, den: int) -> list[tuple]:
     """The same rows from all pairs, for tests."""
     sets = []

@@ -14,7 +14,7 @@ import random
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load
@@ -67,15 +67,18 @@ def _pieces(text: str) -> list[str]:
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, kind, k, start, m, before, after: one row a match, or one with kind null."""
+    """rid, doc_id, kind, k, m, gap, before, after, carried: a row for each match, and one for the row itself, which alone carries."""
     for kind, expr in zip(PATTERNS, _pieces("t")):
         rows = rows.withColumn(f"p_{kind}", F.expr(expr))
+    carried = "carried" if "carried" in rows.columns else "cast(null as string)"
+    own = f"array(struct(cast(null as string) as kind, 0 as k, cast(null as string) as m, 0 as gap, cast(null as string) as before, cast(null as string) as after, {carried} as carried))"
+    nothing = f"if(true, null, {carried})"
     structs = [
         f"""transform(filter(p_{kind}, x -> x['0'] is not null), (x, k) -> struct('{kind}' as kind, k as k, x['0'] as m, length(x['1']) as gap,
-            right(x['1'], {CONTEXT}) as before, left(p_{kind}[k + 1]['1'], 8) as after))"""
+            right(x['1'], {CONTEXT}) as before, left(p_{kind}[k + 1]['1'], 8) as after, {nothing} as carried))"""
         for kind in PATTERNS
     ]
-    return rows.select("rid", "doc_id", F.explode_outer(F.expr(f"concat({', '.join(structs)})")).alias("x")).select("rid", "doc_id", "x.*")
+    return rows.select("rid", "doc_id", F.explode(F.expr(f"concat({own}, {', '.join(structs)})")).alias("x")).select("rid", "doc_id", "x.*")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -201,18 +204,9 @@ def fitted(spark: SparkSession, seed: int = 11) -> tuple[Boosted, float]:
     return _FITTED[seed]
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id and spans array<struct<start, order, kind, end, base, score>> in code points, sorted.
-
-    Matches are exploded next to their document's row and meet again by row, in the one shuffle; a
-    running sum of lengths within a row gives places, so a document's matches are what a task holds.
-    Null texts are empty; repeated rows give repeated results; overlapping spans of different kinds
-    are all reported; an empty table gives an empty result; other columns are ignored.
-    """
-    from pyspark.sql import Window
-
-    model, threshold = fitted(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+def _placed(rows: DataFrame) -> DataFrame:
+    """Accepted spans of rows (rid, doc_id, t, and maybe carried): rid, doc_id, carried, span or null."""
+    model, threshold = fitted(rows.sparkSession)
     found = _exploded(rows)
     parts = F.split("m", r"\.")
     small = reduce(lambda a, b: a & b, (F.length(F.regexp_replace(parts[i], "^0+", "")) <= 3 for i in range(4)))
@@ -229,10 +223,41 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     score = F.when(kind.isin(BASE), 1.0).when(kind.isNotNull(), 1 / (1 + F.exp(-model.column(_NAMES))))
     at = Window.partitionBy("rid", "kind").orderBy("k")
     order = reduce(lambda c, x: c.when(kind == x[1], x[0]), enumerate(BASE + ADDED), F.when(F.lit(False), 0))
-    slim = scored.select("rid", "doc_id", "kind", "k", "gap", F.length("m").alias("n"), ok.alias("ok"), score.alias("score"), order.alias("order"))
+    slim = scored.select("rid", "doc_id", "carried", "kind", "k", "gap", F.length("m").alias("n"), ok.alias("ok"), score.alias("score"), order.alias("order"))
     placed = slim.repartition("rid").withColumn("end", F.sum(F.col("gap") + F.col("n")).over(at))
     span = F.when(F.col("ok"), F.struct((F.col("end") - F.col("n")).alias("start"), "order", "kind", "end", (F.col("order") < len(BASE)).alias("base"), "score"))
-    return placed.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans")).select("doc_id", "spans")
+    return placed.select("rid", "doc_id", "carried", span.alias("span"))
+
+
+def find_personal_data(docs: DataFrame) -> DataFrame:
+    """doc_id and spans array<struct<start, order, kind, end, base, score>> in code points, sorted.
+
+    Matches are exploded next to their document's row and meet again by row, in the one shuffle; a
+    running sum of lengths within a row gives places, so a document's matches are what a task holds.
+    Null texts are empty; repeated rows give repeated results; overlapping spans of different kinds
+    are all reported; an empty table gives an empty result; other columns are ignored.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    return _placed(rows).groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list("span")).alias("spans")).select("doc_id", "spans")
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span, merged where spans overlap, replaced by its kind in brackets.
+
+    A row's columns travel once, on the row's own line beside its matches, through the one shuffle.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.struct(*docs.columns).alias("carried"))
+    found = _placed(rows).select("rid", "carried", "span.*")
+    so_far = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("start") >= F.max("end").over(so_far), F.lit(True)).cast("int")
+    islands = found.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(Window.partitionBy("rid").orderBy("start", "order")))
+    one = islands.groupBy("rid", "island").agg(F.max("carried").alias("carried"), F.min("start").alias("a"), F.max("end").alias("z"), F.min_by("kind", F.struct("start", "order")).alias("kind"))
+    whole = one.groupBy("rid").agg(F.max("carried").alias("d"), F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "z", "kind")))).alias("s"))
+    cut = """concat(array_join(transform(s, (x, i) -> concat(substring(d.text, int(if(i = 0, 0, s[greatest(i - 1, 0)].z) + 1), int(x.a - if(i = 0, 0, s[greatest(i - 1, 0)].z))), '[', upper(x.kind), ']')), ''),
+        substring(d.text, int(s[size(s) - 1].z + 1)))"""
+    out = whole.withColumn("cut", F.when(F.size("s") > 0, F.expr(cut)).otherwise(F.col("d.text")))
+    new = {"text": F.col("cut"), "n_chars": F.when(F.size("s") > 0, F.length("cut").cast("long")).otherwise(F.col("d.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("cut")}
+    return out.select(*(new.get(c, F.col("d")[c]).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

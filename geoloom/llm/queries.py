@@ -47,7 +47,13 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_lm_scoring, op5_license_scan, op6_bpe_codec, op7_toxicity, op8_pii, op9_topk_search)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_lm_scoring, op5_license_scan, op6_bpe_codec, op7_toxicity, op8_pii, op9_topk_search, pipeline)}
 ORACLES: dict[str, str] = {
     "op5_license_scan": license_scan.oracle_sql(),
     "op9_topk_search": topk_search.oracle_sql(),

@@ -274,6 +274,23 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(keyed_texts(docs), run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text isn't called toxic."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
+        for batch in batches:
+            if batch.num_rows:
+                if len(cache) > CACHE:
+                    cache.clear()
+                s, _ = model.scores([t or "" for t in batch.column(at).to_pylist()], cache)
+                yield batch.filter(pa.array(s < 0.5))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def digest(scored: DataFrame) -> DataFrame:
     """The columns of the query."""
     return scored.select("doc_id", "held_out", "score", "predicted")
