@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +42,17 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(size: int):
+    """Rows (part, vec_id, dim, norm, data), sorted by part and dimension, as blocks of one part and dimension."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), []
+        held: list[tuple] = []
 
         def out():
-            return record_batch(_PACKED, [part], [held[0][1]], [max(r[2] for r in held)], [np.array([r[0] for r in held], np.int64).tobytes()], [b"".join(r[3] for r in held)])
+            return record_batch(_PACKED, [held[0][0]], [held[0][2]], [max(r[3] for r in held)], [np.array([r[1] for r in held], np.int64).tobytes()], [b"".join(r[4] for r in held)])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (len(held) == size or row[1] != held[0][1]):
+                if held and (len(held) == size or (row[0], row[2]) != (held[0][0], held[0][2])):
                     yield out()
                     held = []
                 held.append(row)
@@ -131,29 +132,29 @@ def _offer(best: Best, which, q, qid, v, vid, qn, vn) -> None:
 
 
 def _searched(k: int):
-    schema = pa.schema([("qb", pa.int64()), ("dim", pa.int32()), ("qn", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("qb", pa.int64()), ("qn", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = best = q = qid = qn = None
+        at, asked = None, []
 
         def out():
-            return record_batch(schema, np.full(len(best.q), at[0]), np.full(len(best.q), at[2], np.int32), best.q.astype(np.int32), qid[best.q], best.id, best.score)
+            for no, (best, _, _, ids) in enumerate(asked):
+                if len(best.q):
+                    name = (at[0] << 40) + (at[2] << 20) + no
+                    yield record_batch(schema, np.full(len(best.q), name), best.q.astype(np.int32), ids[best.q], best.id, best.score)
 
         for batch in batches:
             for qb, g, dim, is_query, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
                 keys, m = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
                 if (qb, g, dim) != at:
-                    if best is not None and len(best.q):
-                        yield out()
-                    at, best = (qb, g, dim), None
+                    yield from out()
+                    at, asked = (qb, g, dim), []
                 if is_query:
-                    qid, q = keys, m
-                    qn = np.sqrt(np.einsum("ij,ij->i", q, q))
-                    best = Best(len(q), k)
-                elif best is not None:
-                    search_bucket(best, qn, q, qid, m, keys)
-        if best is not None and len(best.q):
-            yield out()
+                    asked.append((Best(len(m), k), np.sqrt(np.einsum("ij,ij->i", m, m)), m, keys))
+                else:
+                    for best, qn, q, qid in asked:
+                        search_bucket(best, qn, q, qid, m, keys)
+        yield from out()
 
     return run
 
@@ -172,16 +173,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     all_v, all_q = staged(pick(vectors)), staged(pick(queries))
     n, nq = all_v.count(), all_q.count()
     groups, blocks = max(1, -(-n // GROUP)), max(1, -(-nq // QUERIES))
-    sort = ("dim", F.desc("norm"), "vec_id")
-    buckets = map_arrow(all_v.repartition(groups).sortWithinPartitions(*sort), _packed(BUCKET), packed)
-    asked = map_arrow(all_q.repartition(blocks).sortWithinPartitions(*sort), _packed(1 << 30), packed)
-    # queries of a partition are one block, unless their dimension changes: (partition, dimension) names it
-    left = asked.select(F.col("part").alias("qp"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "dim", F.lit(True).alias("is_query"), F.lit(0.0).alias("top"), "ids", "data")
-    right = buckets.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qp"), F.col("part").alias("g"), "dim", F.lit(False).alias("is_query"), "top", "ids", "data")
-    cells = left.unionByName(right).repartition(min(4096, groups * blocks), "qp", "g").sortWithinPartitions("qp", "g", "dim", F.desc("is_query"), F.desc("top"))
-    cells = cells.select(F.col("qp").alias("qb"), "g", "dim", "is_query", "ids", "data")
-    found = map_arrow(cells, _searched(k), "qb long, dim int, qn int, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "qb", "dim", "qn").orderBy(F.desc("score"), "vec_id"))
+    dealt = lambda df, parts: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), "vec_id", "dim", "norm", "data").repartition(parts, "part").sortWithinPartitions("part", "dim", F.desc("norm"), "vec_id")
+    upto = lambda most: F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))
+    buckets = map_arrow(dealt(all_v, groups), _packed(BUCKET), packed)
+    asked = map_arrow(dealt(all_q, blocks), _packed(QUERIES), packed)
+    left = asked.select(F.col("part").alias("qb"), F.explode(upto(groups)).alias("g"), "dim", F.lit(True).alias("is_query"), F.lit(0.0).alias("top"), "ids", "data")
+    right = buckets.select(F.explode(upto(blocks)).alias("qb"), F.col("part").alias("g"), "dim", F.lit(False).alias("is_query"), "top", "ids", "data")
+    cells = left.unionByName(right).repartition(min(4096, groups * blocks), "qb", "g").sortWithinPartitions("qb", "g", "dim", F.desc("is_query"), F.desc("top"), "ids")
+    found = map_arrow(cells.select("qb", "g", "dim", "is_query", "ids", "data"), _searched(k), "qb long, qn int, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "qb", "qn").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
