@@ -21,3 +21,7 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return wrap
+
+
+# Each module registers its queries as it is imported.
+from .queries import audit_queries, composition, region_queries  # noqa: E402, F401
