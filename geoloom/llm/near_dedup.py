@@ -177,6 +177,19 @@ def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "id long, text binary").where("id is not null")
 
 
+def _small(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[bytes]]:
+    """The texts of rows in blocks of bounded size: hashing holds many times a block's bytes."""
+    held, size = [], 0
+    for _, t in rows:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets have den * intersection >= num * union."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -191,8 +204,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             if len(known) > 64:
                 known.clear()
-            new = list({t for t in (*ta, *tb) if t not in known})
-            known.update(zip(new, shingle_sets(new, width)))
+            new = [(0, t) for t in {*ta, *tb}.difference(known)]
+            for part in _small(new):
+                known.update(zip(part, shingle_sets(part, width)))
             good = []
             for x, y in zip(ta, tb):
                 s, t = known[x], known[y]
