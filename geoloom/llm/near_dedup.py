@@ -7,9 +7,9 @@ registers propose pairs, the joint likelihood of the register comparisons drops
 reach the threshold, and every link is confirmed on the full shingle sets.
 
 Groups of copies don't make all pairs.  Texts with the same words are one node.  Within a band's
-bucket each node meets the bucket's most central node only; after components are known, only the
-nodes of a bucket that aren't in its central component meet the others of another component.  Any
-pair of a bucket is then in one component or has been tested.
+bucket each node meets the bucket's most central node only.  Nodes of a bucket that are then still
+in several components meet by what sets them apart from the group's common shingles: exactly the
+pairs that can be linked do (see _apart).  Any linked pair of a bucket is so found, or joined already.
 """
 
 from __future__ import annotations
@@ -217,6 +217,48 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
     return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
 
 
+def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of members (g, id, c) of one group g and two components c that are linked.
+
+    Not by testing all pairs: let C be the shingles that most of a group's sets have, D(x) the
+    symmetric difference of x and C, and F(x) = (den - num) |x| - (den + num) |D(x)|.  As the
+    symmetric difference of x and y is that of D(x) and D(y), x and y are linked exactly if
+    2 (den + num) |D(x) & D(y)| + F(x) + F(y) >= 0.  If F(x) + F(y) >= 0 already, both are linked
+    with the node of greatest F, and one link to it stands for all such pairs.  Any other link
+    needs a common element of the differences: an equi-join, in which copies that differ in
+    places of their own don't meet.
+    """
+    ids = members.select("id").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int64()))])
+        for keys, texts in text_blocks(batches, 1 << 19):
+            found = shingle_sets([t or b"" for t in texts], width)
+            yield record_batch(schema, keys, [x.view(np.int64) for x in found])
+
+    texts = map_arrow(_needed(docs, ids).join(ids, "id", "left_semi"), sets, "id long, s array<long>").groupBy("id").agg(F.max("s").alias("s"))
+    held = staged(members.join(texts, "id"))
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("common"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("f", pa.int64()), ("d", pa.list_(pa.int64()))])
+        for batch in batches:
+            g, i, c, s, m = (x.to_pylist() for x in batch.columns)
+            sets_ = [np.array(x, np.int64) for x in s]
+            d = [np.setxor1d(x, np.array(y or [], np.int64)) for x, y in zip(sets_, m)]
+            yield record_batch(schema, g, i, c, [(den - num) * len(x) - (den + num) * len(y) for x, y in zip(sets_, d)], d)
+
+    apart = staged(map_arrow(held.join(common, "g", "left").select("g", "id", "c", "s", "common"), differ, "g long, id long, c long, f long, d array<long>"))
+    best = apart.groupBy("g").agg(F.max_by(F.struct("id", "c", "f"), F.struct("f", -F.col("id"))).alias("t")).select("g", F.col("t.id").alias("b"), F.col("t.c").alias("cb"), F.col("t.f").alias("fb"))
+    near = apart.join(best, "g").where("c <> cb and f + fb >= 0").select(F.col("id").alias("a"), "b")
+    rows = apart.select("g", "id", "c", "f", F.explode("d").alias("e"))
+    left, right = (rows.select("g", "e", *(F.col(x).alias(x + k) for x in ("id", "c", "f"))) for k in "xy")
+    met = left.join(right, ["g", "e"]).where("idx < idy and cx <> cy and fx + fy < 0").groupBy("g", "idx", "idy", "fx", "fy").agg(F.count("*").alias("k"))
+    linked = met.where(F.col("k") * 2 * (den + num) + F.col("fx") + F.col("fy") >= 0).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    return near.unionByName(linked).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents linked at a Jaccard
     similarity of num / den or more of their distinct word shingles.
@@ -246,13 +288,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     led = bucket.select(F.col("id").alias("a"), F.col("n").alias("na"), "key").join(leaders, "key")
     first = links(led.where(sized & (F.col("a") != F.col("b"))).select("a", "b").distinct())
     roots = staged(connected_components(first))
-    # What a bucket's central node doesn't reach meets the bucket's nodes of other components.
-    rooted = bucket.join(roots.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    top = rooted.join(leaders.select("key", F.col("b").alias("id")), ["key", "id"]).select("key", F.col("c").alias("top")).distinct()
-    known = rooted.join(top, "key")
-    outside = known.where("c <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    inside = rooted.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    second = links(outside.join(inside, "key").where(sized & (F.col("ca") != F.col("cb"))).select("a", "b").distinct())
+    # Buckets in which nodes other than the central one are of more than one component.
+    rooted = bucket.join(roots.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    others = rooted.join(leaders.select("key", "b"), "key").where("id <> b")
+    mixed = others.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    members = staged(others.join(mixed, "key").select(F.col("b").alias("g"), "id", "c").distinct())
+    second = staged(_confirmed(staged(_apart(members, docs, width, num, den)), docs, width, num, den))
     roots = connected_components(first.unionByName(second))
     names = nodes.select("words_id", "id").join(roots.select(F.col("node").alias("id"), "component"), "id", "left").groupBy("words_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
     out = every.select("doc_id", "n_shingles", "words_id").join(names, "words_id", "left")
