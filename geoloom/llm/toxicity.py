@@ -104,7 +104,8 @@ def word_features(words: list[str]) -> np.ndarray:
         w = DECAY ** (a + b)
         np.add.at(out, (owner, t), np.float32(w) * VALID[t])
         np.add.at(norm, owner, w * w * VALID[t])
-    return out / np.sqrt(np.maximum(norm, 1e-6))[:, None].astype(np.float32)
+    out /= np.sqrt(np.maximum(norm, 1e-6))[:, None].astype(np.float32)
+    return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -175,7 +176,8 @@ class Model:
 
     def __init__(self, rows: list[tuple[str, int]]):
         self.weight, self.bias = np.zeros(SIGMA**3, np.float32), -1.0
-        texts, y = [words_of(t) for t, _ in rows], np.array([v for _, v in rows])
+        same: dict[str, str] = {}  # one string a word, however many texts have it
+        texts, y = [[same.setdefault(w, w) for w in words_of(t)] for t, _ in rows], np.array([v for _, v in rows])
         self.calibration = np.zeros(6)
         self.calibration[-1] = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -3.0
         if not len(y) or y.min() == y.max():
@@ -202,14 +204,14 @@ class Model:
         neg = pool[:NEGATIVES]
         # landmarks of the other side: the negatives nearest to the insults, and common words
         phi_pos = word_features(marks)
-        near = np.concatenate([(word_features(neg[i : i + 500]) @ phi_pos.T).max(axis=1) for i in range(0, len(neg), 500)]) if neg else np.zeros(0)
+        near = np.concatenate([(word_features(neg[i : i + 100]) @ phi_pos.T).max(axis=1) for i in range(0, len(neg), 100)]) if neg else np.zeros(0)
         rest = LANDMARKS - len(marks)
         marks = list(dict.fromkeys(marks + [neg[i] for i in np.argsort(-near, kind="stable")[: rest * 3 // 4]] + neg[: rest // 4]))
         phi = word_features(marks)
         lam, u = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         keep = lam > 1e-4 * lam[-1]
         root = u[:, keep] / np.sqrt(lam[keep])
-        explicit = lambda ws: np.concatenate([word_features(ws[i : i + 500]) @ phi.T for i in range(0, len(ws), 500)]).astype(np.float64) @ root
+        explicit = lambda ws: np.concatenate([word_features(ws[i : i + 100]) @ phi.T for i in range(0, len(ws), 100)]).astype(np.float64) @ root
         x_pos, weight = explicit([w for w, _ in pos]), np.sqrt(np.array([n for _, n in pos], float))
         for _ in range(3):
             x = np.concatenate([x_pos, explicit(neg)]) if neg else x_pos
