@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, license_scan, lm_scoring, near_dedup, pii, token_counts, topk_search, toxicity
+from . import bpe_codec, decontamination, license_scan, lm_scoring, near_dedup, pii, suffix_dedup, token_counts, topk_search, toxicity
 from .common import load
 
 
@@ -47,13 +47,17 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_lm_scoring, op5_license_scan, op6_bpe_codec, op7_toxicity, op8_pii, op9_topk_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_lm_scoring, op5_license_scan, op6_bpe_codec, op7_toxicity, op8_pii, op9_topk_search, op10_suffix_dedup, pipeline)}
 ORACLES: dict[str, str] = {
     "op5_license_scan": license_scan.oracle_sql(),
     "op9_topk_search": topk_search.oracle_sql(),
