@@ -33,6 +33,11 @@ NATS = 14.0
 #: Bits of the filter that finds the texts a verification needs: its size is fixed; once it is
 #: full it passes every text and only costs time.
 FILTER_BITS = 1 << 24
+#: Least sizes of the levels of differences: each about a seventh above the one before.
+LEVELS = [0]
+while LEVELS[-1] < 1 << 40:
+    LEVELS.append(max(LEVELS[-1] + 1, -(-LEVELS[-1] * 115 // 100)))
+_LISTED = pa.list_(pa.struct([("own", pa.int32()), ("other", pa.int32()), ("e", pa.int64())]))
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -225,8 +230,11 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     symmetric difference of x and y is that of D(x) and D(y), x and y are linked exactly if
     2 (den + num) |D(x) & D(y)| + F(x) + F(y) >= 0.  If F(x) + F(y) >= 0 already, both are linked
     with the node of greatest F, and one link to it stands for all such pairs.  Any other link
-    needs a common element of the differences: an equi-join, in which copies that differ in
-    places of their own don't meet.
+    needs common elements of the differences, o = -(F(x) + F(y)) / (2 (den + num)) of them, so by
+    the prefix principle one among the first |D| - o + 1 of each, in an order of elements that all
+    share: own shingles before missing ones, which are the more common.  o depends on the other's
+    |D|, so a node is listed once for each level of that, with a prefix as short as the level
+    allows; copies that differ in places of their own then don't meet.
     """
     ids = members.select("id").distinct()
 
@@ -242,20 +250,29 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("common"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("f", pa.int64()), ("d", pa.list_(pa.int64()))])
+        schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("f", pa.int64()), ("x", _LISTED)])
         for batch in batches:
-            g, i, c, s, m = (x.to_pylist() for x in batch.columns)
-            sets_ = [np.array(x, np.int64) for x in s]
-            d = [np.setxor1d(x, np.array(y or [], np.int64)) for x, y in zip(sets_, m)]
-            yield record_batch(schema, g, i, c, [(den - num) * len(x) - (den + num) * len(y) for x, y in zip(sets_, d)], d)
-
-    apart = staged(map_arrow(held.join(common, "g", "left").select("g", "id", "c", "s", "common"), differ, "g long, id long, c long, f long, d array<long>"))
+            rows = []
+            for g, i, c, s, m in zip(*(x.to_pylist() for x in batch.columns)):
+                own, usual = np.unique(np.array(s, np.int64)), np.array(m or [], np.int64)
+                d = np.concatenate([np.setdiff1d(own, usual), np.setdiff1d(usual, own)])
+                slack = len(own) * (den - num) / num  # (den - num) / (den + num) (|x| + |y|) at most, as |y| <= |x| den / num
+                level, listed = int(np.searchsorted(LEVELS, len(d), side="right")) - 1, []
+                lo, hi = (int(np.searchsorted(LEVELS, max(0.0, x), side="right")) - 1 for x in (len(d) - slack, len(d) + slack))
+                for other in range(lo, hi + 1):
+                    need = max(1, int(np.ceil((len(d) + LEVELS[other] - slack) / 2 - 1e-9)))
+                    listed += [(level, other, e) for e in d[: max(0, len(d) - need + 1)].tolist()]
+                rows.append((g, i, c, (den - num) * len(own) - (den + num) * len(d), [dict(zip(("own", "other", "e"), t)) for t in listed]))
+            if rows:
+                yield record_batch(schema, *zip(*rows))
+
+    apart = staged(map_arrow(held.join(common, "g", "left").select("g", "id", "c", "s", "common"), differ, "g long, id long, c long, f long, x array<struct<own:int,other:int,e:long>>"))
     best = apart.groupBy("g").agg(F.max_by(F.struct("id", "c", "f"), F.struct("f", -F.col("id"))).alias("t")).select("g", F.col("t.id").alias("b"), F.col("t.c").alias("cb"), F.col("t.f").alias("fb"))
     near = apart.join(best, "g").where("c <> cb and f + fb >= 0").select(F.col("id").alias("a"), "b")
-    rows = apart.select("g", "id", "c", "f", F.explode("d").alias("e"))
-    left, right = (rows.select("g", "e", *(F.col(x).alias(x + k) for x in ("id", "c", "f"))) for k in "xy")
-    met = left.join(right, ["g", "e"]).where("idx < idy and cx <> cy and fx + fy < 0").groupBy("g", "idx", "idy", "fx", "fy").agg(F.count("*").alias("k"))
-    linked = met.where(F.col("k") * 2 * (den + num) + F.col("fx") + F.col("fy") >= 0).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    rows = apart.select("g", "id", "c", "f", F.explode("x").alias("x")).select("g", "id", "c", "f", "x.*")
+    left = rows.select("g", "e", "own", "other", *(F.col(x).alias(x + "x") for x in ("id", "c", "f")))
+    right = rows.select("g", "e", F.col("other").alias("own"), F.col("own").alias("other"), *(F.col(x).alias(x + "y") for x in ("id", "c", "f")))
+    linked = left.join(right, ["g", "e", "own", "other"]).where("idx < idy and cx <> cy and fx + fy < 0").select(F.col("idx").alias("a"), F.col("idy").alias("b"))
     return near.unionByName(linked).distinct()
 
 
