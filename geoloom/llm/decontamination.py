@@ -249,7 +249,8 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tu
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items array<string> (sorted), word_spans and char_spans
-    (flat arrays [start, end, ...] of merged removal spans); with carry, first all columns of docs.
+    (flat arrays [start, end, ...] of merged removal spans); with carry, instead, _row (all columns
+    of docs as they are) and _spans (those in characters).
 
     Documents stream through narrow maps, one for each block of items: no shuffle, and what a task
     holds is one shard and one block.  Null texts have no words; empty items and null item texts
@@ -268,7 +269,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
         rows = map_arrow(rows, _pass(block, width, first, following is None), T.StructType(out.fields + fields))
         first, block = False, following
     found = ["n_words", "n_hit", "n_items", "items", "word_spans", "char_spans"]
-    return rows.select(*(F.col(f"x_{i}").alias(c) for i, c in enumerate(extra)), *found) if carry else rows.select(F.col("_doc_id").alias("doc_id"), *found)
+    return rows.select(F.struct(*(F.col(f"x_{i}").alias(c) for i, c in enumerate(extra))).alias("_row"), F.col("char_spans").alias("_spans")) if carry else rows.select(F.col("_doc_id").alias("doc_id"), *found)
 
 
 _MIDDLE = "_doc_id long, _text binary, _spans array<int>, _items array<string>"
@@ -315,13 +316,16 @@ def _pass(block: list, width: int, first: bool, last: bool):
 def remove_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """docs with the removal spans cut out of their texts; other texts stay as they are."""
     found = decontaminate(docs, benchmark, width, carry=True)
-    keep = """concat(array_join(transform(sequence(0, size(char_spans) div 2 - 1), i ->
-        substring(text, if(i = 0, 0, char_spans[greatest(2 * i - 1, 0)]) + 1, char_spans[2 * i] - if(i = 0, 0, char_spans[greatest(2 * i - 1, 0)]))), ''),
-        substring(text, char_spans[size(char_spans) - 1] + 1))"""
-    found = found.withColumn("text", F.when(F.col("n_hit") > 0, F.expr(keep)).otherwise(F.col("text")))
+    hit, cut = F.size("_spans") > 0, F.expr(
+        """concat(array_join(transform(sequence(0, size(_spans) div 2 - 1), i ->
+        substring(_text, if(i = 0, 0, _spans[greatest(2 * i - 1, 0)]) + 1, _spans[2 * i] - if(i = 0, 0, _spans[greatest(2 * i - 1, 0)]))), ''),
+        substring(_text, _spans[size(_spans) - 1] + 1))"""
+    )
+    found = found.withColumn("_text", F.col("_row.text").cast("string")).withColumn("_cut", F.when(hit, cut).otherwise(F.col("_text")))
+    new = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+        new["n_chars"] = F.when(hit, F.length("_cut").cast("long")).otherwise(F.col("_row.n_chars"))
+    return found.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:
