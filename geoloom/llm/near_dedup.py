@@ -37,7 +37,6 @@ FILTER_BITS = 1 << 24
 LEVELS = [0]
 while LEVELS[-1] < 1 << 40:
     LEVELS.append(max(LEVELS[-1] + 1, -(-LEVELS[-1] * 115 // 100)))
-_LISTED = pa.list_(pa.struct([("own", pa.int32()), ("other", pa.int32()), ("e", pa.int64())]))
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,6 +221,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
     return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
 
 
+def _rows(names: list[str], g: int, i: int, c: int, f: int, own, other, e) -> pa.RecordBatch:
+    same = [pa.array(np.full(len(e), x, np.int64)) for x in (g, i, c, f)]
+    return pa.RecordBatch.from_arrays([*same, pa.array(own, pa.int32()), pa.array(other, pa.int32()), pa.array(e, pa.int64())], names=names)
+
+
 def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of members (g, id, c) of one group g and two components c that are linked.
 
@@ -250,26 +254,36 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("common"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("f", pa.int64()), ("x", _LISTED)])
+        names, out, n = ["g", "id", "c", "f", "own", "other", "e"], [], 0
         for batch in batches:
-            rows = []
-            for g, i, c, s, m in zip(*(x.to_pylist() for x in batch.columns)):
-                own, usual = np.unique(np.array(s, np.int64)), np.array(m or [], np.int64)
+            for k in range(batch.num_rows):  # a row at a time: a long text's list is as long as the text
+                g, i, c = (batch.column(n)[k].as_py() for n in range(3))
+                own, usual = (np.zeros(0, np.int64) if x.as_py() is None else x.values.to_numpy(zero_copy_only=False) for x in (batch.column(3)[k], batch.column(4)[k]))
+                own = np.unique(own)
                 d = np.concatenate([np.setdiff1d(own, usual), np.setdiff1d(usual, own)])
                 slack = len(own) * (den - num) / num  # (den - num) / (den + num) (|x| + |y|) at most, as |y| <= |x| den / num
-                level, listed = int(np.searchsorted(LEVELS, len(d), side="right")) - 1, []
+                level = int(np.searchsorted(LEVELS, len(d), side="right")) - 1
                 lo, hi = (int(np.searchsorted(LEVELS, max(0.0, x), side="right")) - 1 for x in (len(d) - slack, len(d) + slack))
-                for other in range(lo, hi + 1):
-                    need = max(1, int(np.ceil((len(d) + LEVELS[other] - slack) / 2 - 1e-9)))
-                    listed += [(level, other, e) for e in d[: max(0, len(d) - need + 1)].tolist()]
-                rows.append((g, i, c, (den - num) * len(own) - (den + num) * len(d), [dict(zip(("own", "other", "e"), t)) for t in listed]))
-            if rows:
-                yield record_batch(schema, *zip(*rows))
-
-    apart = staged(map_arrow(held.join(common, "g", "left").select("g", "id", "c", "s", "common"), differ, "g long, id long, c long, f long, x array<struct<own:int,other:int,e:long>>"))
-    best = apart.groupBy("g").agg(F.max_by(F.struct("id", "c", "f"), F.struct("f", -F.col("id"))).alias("t")).select("g", F.col("t.id").alias("b"), F.col("t.c").alias("cb"), F.col("t.f").alias("fb"))
-    near = apart.join(best, "g").where("c <> cb and f + fb >= 0").select(F.col("id").alias("a"), "b")
-    rows = apart.select("g", "id", "c", "f", F.explode("x").alias("x")).select("g", "id", "c", "f", "x.*")
+                needs = [max(1, int(np.ceil((len(d) + LEVELS[o] - slack) / 2 - 1e-9))) for o in range(lo, hi + 1)]
+                f = (den - num) * len(own) - (den + num) * len(d)
+                out.append(_rows(names, g, i, c, f, [None], [None], [None]))  # the member itself
+                for other, need in zip(range(lo, hi + 1), needs):
+                    e = d[: max(0, len(d) - need + 1)]
+                    if len(e):
+                        out.append(_rows(names, g, i, c, f, np.full(len(e), level, np.int32), np.full(len(e), other, np.int32), e))
+                        n += len(e)
+                if n > 1 << 16:
+                    yield pa.concat_batches(out)
+                    out, n = [], 0
+            if out:
+                yield pa.concat_batches(out)
+                out, n = [], 0
+
+    apart = staged(map_arrow(held.join(common, "g", "left").select("g", "id", "c", "s", "common"), differ, "g long, id long, c long, f long, own int, other int, e long"))
+    members_ = apart.where("e is null")
+    best = members_.groupBy("g").agg(F.max_by(F.struct("id", "c", "f"), F.struct("f", -F.col("id"))).alias("t")).select("g", F.col("t.id").alias("b"), F.col("t.c").alias("cb"), F.col("t.f").alias("fb"))
+    near = members_.join(best, "g").where("c <> cb and f + fb >= 0").select(F.col("id").alias("a"), "b")
+    rows = apart.where("e is not null")
     left = rows.select("g", "e", "own", "other", *(F.col(x).alias(x + "x") for x in ("id", "c", "f")))
     right = rows.select("g", "e", F.col("other").alias("own"), F.col("own").alias("other"), *(F.col(x).alias(x + "y") for x in ("id", "c", "f")))
     linked = left.join(right, ["g", "e", "own", "other"]).where("idx < idy and cx <> cy and fx + fy < 0").select(F.col("idx").alias("a"), F.col("idy").alias("b"))
