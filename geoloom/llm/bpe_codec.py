@@ -93,7 +93,7 @@ class Codec:
     """Ranks, class table and caches of one vocabulary; one per Python worker."""
 
     #: Entries of each of the two generations of the piece cache.
-    CACHE = 150_000
+    CACHE = 100_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
