@@ -25,7 +25,7 @@ from .common import map_arrow
 #: Bytes of benchmark text that one pass over the documents searches; more items make more passes.
 BLOCK_BYTES = 8 << 20
 #: Bytes of document text in one shard (a longer document is a shard of its own).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Bytes of words, lower-cased; every other byte a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -131,7 +131,7 @@ def likely(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray,
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words_id", pa.binary()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))])
-        for ids, texts in text_blocks(batches, 1 << 20):
+        for ids, texts in text_blocks(batches, 1 << 19):
             texts = [t or b"" for t in texts]
             sets = shingle_sets(texts, width)
             regs = [registers_of(s) if len(s) else None for s in sets]
@@ -253,37 +253,50 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     sizes = members.groupBy("g").agg(F.count("*").alias("size"))
     common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("common"))
 
+    def apart_from(own, usual) -> tuple[int, np.ndarray]:
+        own, usual = (np.zeros(0, np.int64) if x.as_py() is None else x.values.to_numpy(zero_copy_only=False) for x in (own, usual))
+        own = np.unique(own)
+        return len(own), np.concatenate([np.setdiff1d(own, usual), np.setdiff1d(usual, own)])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("f", pa.int64()), ("own", pa.int32())])
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                n, d = apart_from(batch.column(3)[k], batch.column(4)[k])
+                rows.append((*(batch.column(i)[k].as_py() for i in range(3)), (den - num) * n - (den + num) * len(d), int(np.searchsorted(LEVELS, len(d), side="right")) - 1))
+            if rows:
+                yield record_batch(schema, *zip(*rows))
+
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, out, n = ["g", "id", "c", "f", "own", "other", "e"], [], 0
+        names, out, held_ = ["g", "id", "c", "f", "own", "other", "e"], [], 0
         for batch in batches:
             for k in range(batch.num_rows):  # a row at a time: a long text's list is as long as the text
-                g, i, c = (batch.column(n)[k].as_py() for n in range(3))
-                own, usual = (np.zeros(0, np.int64) if x.as_py() is None else x.values.to_numpy(zero_copy_only=False) for x in (batch.column(3)[k], batch.column(4)[k]))
-                own = np.unique(own)
-                d = np.concatenate([np.setdiff1d(own, usual), np.setdiff1d(usual, own)])
-                slack = len(own) * (den - num) / num  # (den - num) / (den + num) (|x| + |y|) at most, as |y| <= |x| den / num
-                level = int(np.searchsorted(LEVELS, len(d), side="right")) - 1
+                g, i, c, f, level, levels = (batch.column(n)[k].as_py() for n in (0, 1, 2, 5, 6, 7))
+                n, d = apart_from(batch.column(3)[k], batch.column(4)[k])
+                slack = n * (den - num) / num  # (den - num) / (den + num) (|x| + |y|) at most, as |y| <= |x| den / num
                 lo, hi = (int(np.searchsorted(LEVELS, max(0.0, x), side="right")) - 1 for x in (len(d) - slack, len(d) + slack))
-                needs = [max(1, int(np.ceil((len(d) + LEVELS[o] - slack) / 2 - 1e-9))) for o in range(lo, hi + 1)]
-                f = (den - num) * len(own) - (den + num) * len(d)
-                out.append(_rows(names, g, i, c, f, [None], [None], [None]))  # the member itself
-                for other, need in zip(range(lo, hi + 1), needs):
+                for other in range(lo, hi + 1):
+                    need = max(1, int(np.ceil((len(d) + LEVELS[other] - slack) / 2 - 1e-9)))
                     e = d[: max(0, len(d) - need + 1)]
-                    if len(e):
+                    if len(e) and (levels is None or other in levels):
                         out.append(_rows(names, g, i, c, f, np.full(len(e), level, np.int32), np.full(len(e), other, np.int32), e))
-                        n += len(e)
-                if n > 1 << 16:
+                        held_ += len(e)
+                if held_ > 1 << 16:
                     yield pa.concat_batches(out)
-                    out, n = [], 0
-            if out:
-                yield pa.concat_batches(out)
-                out, n = [], 0
-
-    apart = staged(map_arrow(held.join(common, "g", "left").select("g", "id", "c", "s", "common"), differ, "g long, id long, c long, f long, own int, other int, e long"))
-    members_ = apart.where("e is null")
-    best = members_.groupBy("g").agg(F.max_by(F.struct("id", "c", "f"), F.struct("f", -F.col("id"))).alias("t")).select("g", F.col("t.id").alias("b"), F.col("t.c").alias("cb"), F.col("t.f").alias("fb"))
-    near = members_.join(best, "g").where("c <> cb and f + fb >= 0").select(F.col("id").alias("a"), "b")
-    rows = apart.where("e is not null")
+                    out, held_ = [], 0
+        if out:
+            yield pa.concat_batches(out)
+
+    input_ = held.join(common, "g", "left").select("g", "id", "c", "s", "common")
+    size = staged(map_arrow(input_, measure, "g long, id long, c long, f long, own int"))
+    best = size.groupBy("g").agg(F.max_by(F.struct("id", "c", "f"), F.struct("f", -F.col("id"))).alias("t")).select("g", F.col("t.id").alias("b"), F.col("t.c").alias("cb"), F.col("t.f").alias("fb"))
+    near = size.join(best, "g").where("c <> cb and f + fb >= 0").select(F.col("id").alias("a"), "b")
+    # nodes of the best node's component are one already: they are listed only for levels at which there are others
+    levels = size.join(best, "g").where("c <> cb").groupBy("g").agg(F.collect_set("own").alias("levels"))
+    listed = input_.join(size.select("g", "id", "f", "own"), ["g", "id"]).join(best.select("g", "cb"), "g").join(levels, "g")
+    listed = listed.select("g", "id", "c", "s", "common", "f", "own", F.when(F.col("c") == F.col("cb"), F.col("levels")).alias("levels"))
+    rows = staged(map_arrow(listed, differ, "g long, id long, c long, f long, own int, other int, e long"))
     left = rows.select("g", "e", "own", "other", *(F.col(x).alias(x + "x") for x in ("id", "c", "f")))
     right = rows.select("g", "e", F.col("other").alias("own"), F.col("own").alias("other"), *(F.col(x).alias(x + "y") for x in ("id", "c", "f")))
     linked = left.join(right, ["g", "e", "own", "other"]).where("idx < idy and cx <> cy and fx + fy < 0").select(F.col("idx").alias("a"), F.col("idy").alias("b"))

@@ -26,7 +26,7 @@ TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
 #: Landmarks, words used as negatives, price of a place in a span, longest span.
 LANDMARKS, NEGATIVES, DECAY, SPAN = 320, 12000, 0.6, 6
 #: Words whose value a worker keeps.
-CACHE = 300_000
+CACHE = 100_000
 SIGMA, EDGE, GAP = 32, 0, 31
 #: Digits and signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"})
@@ -113,12 +113,15 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> tup
     x1 = np.hstack([x, np.ones((len(x), 1))])
     reg = np.eye(x1.shape[1])
     reg[-1, -1] = 1e-3
-    w = np.zeros(x1.shape[1])
+    w, before = np.zeros(x1.shape[1]), None
     for _ in range(rounds):
         active = y * (x1 @ w) < 1
+        if before is not None and (active == before).all():
+            break
+        before = active
         xa = x1[active] * cost[active, None]
         new = np.linalg.solve(reg + x1[active].T @ xa, xa.T @ y[active])
-        if np.allclose(new, w, atol=1e-7):
+        if np.allclose(new, w, rtol=1e-4, atol=1e-4):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -227,8 +230,8 @@ class Model:
         docs = [words_of(t) for t in texts]
         sets = [list(dict.fromkeys(d)) for d in docs]
         new = list({w for s in sets for w in s}.difference(cache))
-        for i in range(0, len(new), 20000):
-            part = new[i : i + 20000]
+        for i in range(0, len(new), 8000):
+            part = new[i : i + 8000]
             cache.update(zip(part, word_values(part, self.weight, self.bias).tolist()))
         x, found = [], []
         for words, d in zip(sets, docs):
@@ -267,7 +270,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("words", pa.list_(pa.string()))])
         cache: dict[str, float] = {}
-        for ids, texts in text_blocks(batches, 1 << 20):
+        for ids, texts in text_blocks(batches, 1 << 19):
             if len(cache) > CACHE:
                 cache.clear()
             s, found = model.scores(texts, cache)
