@@ -35,7 +35,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
-    return bpe_codec.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe_codec.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), cache=30_000)
 
 
 STAGES = [

@@ -93,7 +93,7 @@ class Codec:
     """Ranks, class table and caches of one vocabulary; one per Python worker."""
 
     #: Entries of each of the two generations of the piece cache.
-    CACHE = 100_000
+    CACHE = 130_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -107,6 +107,7 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
         self.classes = self._class_table()
         self.gen, self.compose, self.apply, self.bounds = _monoid()
+        self.cache = self.CACHE
         self.young: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
 
@@ -195,7 +196,7 @@ class Codec:
             ids = self.merge(piece)
             found = (tuple(ids), ",".join(map(str, ids)).encode())
         if len(piece) <= 64:
-            if len(self.young) >= self.CACHE:
+            if len(self.young) >= self.cache:
                 self.old, self.young = self.young, {}
             self.young[piece] = found
         return found
@@ -242,12 +243,13 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False, cache: int = Codec.CACHE) -> DataFrame:
     """Ids of every whole text and what they decode to, as digests; with_ids adds the real outputs
     (ids array<int>, offsets array<long> of the tokens in the decoded bytes, decoded string).
 
     Null texts count as empty (0 tokens, digests of nothing); repeated rows give repeated results;
-    an empty table gives an empty result; other columns are ignored.  A narrow map, no shuffle.
+    an empty table gives an empty result; other columns are ignored.  A narrow map, no shuffle;
+    cache bounds the pieces that a worker remembers, twice.
     """
     schema = SCHEMA + (", ids array<int>, offsets array<long>, decoded string" if with_ids else "")
 
@@ -257,7 +259,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> D
             fields += [("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("decoded", pa.string())]
         out = pa.schema(fields)
         c = codec(ranks_path)
-        for keys, texts in text_blocks(batches, 1 << 20):
+        c.cache = cache
+        for keys, texts in text_blocks(batches, 1 << 19):
             pieces, edges = c.encode(texts)
             counts = np.fromiter((len(p[0]) for p in pieces), np.int64, len(pieces))
             ids = np.fromiter(chain.from_iterable(p[0] for p in pieces), np.int64, int(counts.sum()))
