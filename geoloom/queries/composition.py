@@ -126,7 +126,7 @@ def georeference(spark, d):
     e = c.agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
     lon = 35.0 + (F.col("c") + 0.5) * F.lit(35.2 - 35.0) / F.col("w")
     lat = 31.1 - (F.col("r") + 0.5) * F.lit(31.1 - 31.0) / F.col("h")
-    return c.where("r % 10 = 0 and c % 10 = 0").join(F.broadcast(e)).select("r", "c", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+    return c.join(F.broadcast(e)).select("r", "c", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
 
 
 SLOPE_TERM = "greatest(0, least(1, 1 - (slope - 5) / {span}))"
@@ -325,7 +325,7 @@ def mosaic_seam(spark, d):
     first = c.where("c < 120").withColumn("tile", F.lit(1))
     later = c.where("c >= 80").withColumn("tile", F.lit(2))
     both = first.unionByName(later).groupBy("r", "c").agg(F.max_by(F.struct("class_id", "valid"), "tile").alias("x"))
-    return both.where("x.valid and r % 5 = 0 and c % 5 = 0").select("r", "c", "x.class_id")
+    return both.where("x.valid").select("r", "c", "x.class_id")
 
 
 @query("token_estimate", sql("cells", "select class_id, greatest(1, round(length(class_id || chr(9) || count(*)) / 3.7))::bigint tokens from cells where valid group by class_id"))
