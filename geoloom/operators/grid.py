@@ -101,7 +101,8 @@ def prefix_sum(cells: DataFrame, value: str, name: str) -> DataFrame:
 def densest_window(cells: DataFrame, value: str, size: int, step: int) -> DataFrame:
     """(r, c, total) of the size x size window with the highest sum among those step apart; ties to the first."""
     summed = prefix_sum(cells, value, "p").select("r", "c", "p")
-    corner = summed.where((F.col("r") % step == size - 1) & (F.col("c") % step == size - 1)) if step > 1 else summed.where((F.col("r") >= size - 1) & (F.col("c") >= size - 1))
+    starts = lambda x: (F.col(x) >= size - 1) & ((F.col(x) - size + 1) % step == 0)
+    corner = summed.where(starts("r") & starts("c"))
     at = lambda dr, dc, n: summed.select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.col("p").alias(n))
     joined = corner.join(at(size, 0, "u"), ["r", "c"], "left").join(at(0, size, "l"), ["r", "c"], "left").join(at(size, size, "d"), ["r", "c"], "left")
     total = F.col("p") - F.coalesce("u", F.lit(0)) - F.coalesce("l", F.lit(0)) + F.coalesce("d", F.lit(0))

@@ -315,7 +315,7 @@ def prefix_sum(spark, d):
 @query("densest_window", sql("cells", "select x.r, x.c, sum((y.class_id = 4)::int)::bigint total from cells x join cells y on y.r between x.r and x.r + 7 and y.c between x.c and x.c + 7 where x.r % 8 = 0 and x.c % 8 = 0 and x.r + 8 <= (select max(r) + 1 from cells) and x.c + 8 <= (select max(c) + 1 from cells) group by 1, 2 order by 3 desc, 1, 2 limit 1"))
 def densest_window(spark, d):
     cells = index(spark, d).cells.withColumn("v", (F.col("class_id") == 4).cast("int"))
-    return grid.densest_window(cells, "v", 8, 8)
+    return grid.densest_window(cells, "v", 8, 1)
 
 
 @query("mosaic_seam", sql("cells", "select r, c, class_id from cells where valid and r % 5 = 0 and c % 5 = 0"))

@@ -1,6 +1,10 @@
 """Queries return all there is, told from the index tables and plain NumPy rather than from the reference SQL."""
 
+import numpy as np
+import pytest
+
 from geoloom import catalog
+from geoloom.operators import grid
 from geoloom.plans.index import index
 
 
@@ -16,3 +20,26 @@ def test_georeference_places_every_cell(spark, sf):
 def test_mosaic_has_every_valid_cell(spark, sf):
     want = sorted(tuple(x) for x in index(spark, sf).cells.where("valid").select("r", "c", "class_id").collect())
     assert sorted(tuple(x) for x in catalog.QUERIES["mosaic_seam"](spark, sf).select("r", "c", "class_id").collect()) == want
+
+
+def best_window(a, size, step):
+    """(r, c, total) of the first best window, by looking at all of them."""
+    at = [(r, c) for r in range(0, a.shape[0] - size + 1, step) for c in range(0, a.shape[1] - size + 1, step)]
+    r, c = max(at, key=lambda x: (int(a[x[0] : x[0] + size, x[1] : x[1] + size].sum()), -x[0], -x[1]))
+    return r, c, int(a[r : r + size, c : c + size].sum())
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 8])
+def test_densest_window_of_any_step(spark, step):
+    a = (np.random.default_rng(step).random((23, 30)) < 0.1).astype(int)
+    a[6:10, 14:18] = 1  # a cluster across the corner of four aligned tiles
+    cells = spark.createDataFrame([(r, c, int(a[r, c])) for r, c in np.ndindex(a.shape)], "r long, c long, v int")
+    assert [tuple(x) for x in grid.densest_window(cells, "v", 8, step).collect()] == [best_window(a, 8, step)]
+
+
+def test_densest_window_looks_everywhere(spark, sf):
+    rows = index(spark, sf).cells.selectExpr("r", "c", "cast(class_id = 4 as int) v").collect()
+    a = np.zeros((max(x.r for x in rows) + 1, max(x.c for x in rows) + 1), int)
+    for x in rows:
+        a[x.r, x.c] = x.v
+    assert [tuple(x) for x in catalog.QUERIES["densest_window"](spark, sf).collect()] == [best_window(a, 8, 1)]
