@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
+from ..session import ensure_importable
 from .audit import saturate
 
 # Surface and grade of a way -> the road class it lets expect.
@@ -23,6 +26,8 @@ AXES = {"existence": (1.00, 0.80, 0.20), "identity": (1.00, 0.85, 0.15), "state"
 # Thresholds of the checks and of the evidence.
 LEAST_WAY_PX, ROAD_AGREES, OCCLUDED, EXTRA_OVERLAP, BUILDING_AGREES, LEAST_BUILDING_PX, WATER_OVERLAP, MOST = 60, 0.20, 0.35, 0.15, 0.25, 30, 0.2, 0.85
 STRONG, WEAK, NEAR_M = 0.50, 0.15, 25.0
+# Metres each way of the shift search; cells a side of its tiles.
+ALIGN_SEARCH_M, ALIGN_TILE = 6.0, 512
 
 
 def expected_class(surface: Column, grade: Column) -> Column:
@@ -94,6 +99,40 @@ def with_reference(own: Column, reference: Column) -> Column:
     return saturate(F.when(reference.isNull(), own).otherwise(0.7 * own + 0.3 * reference))
 
 
+def shift_counts(ways: DataFrame, roads: DataFrame, gsd: float, search_m: float = ALIGN_SEARCH_M, tile: int = ALIGN_TILE) -> DataFrame:
+    """(dr, dc, px): road cells that way cells meet when moved by each shift of up to search_m each way.
+
+    Shifts that meet nothing have no row.  A tile gets its roads and the ways within reach of it,
+    and hands on one count a shift.
+    """
+    ensure_importable(ways.sparkSession)
+    reach = max(round(search_m / gsd), 1)
+
+    def kernel(table: pa.Table) -> pa.Table:
+        r, c, way = (table.column(n).to_numpy() for n in ("r", "c", "way"))
+        r, c = r - r.min(), c - c.min()
+        h, w = int(r.max()) + 1, int(c.max()) + 1
+        under, road = np.zeros((h + 2 * reach, w + 2 * reach), bool), np.zeros((h, w), bool)
+        under[r[way] + reach, c[way] + reach] = True
+        road[r[~way], c[~way]] = True
+        steps = range(-reach, reach + 1) if way.any() and not way.all() else []
+        out = [(dr, dc, np.count_nonzero(road & under[reach - dr : reach - dr + h, reach - dc : reach - dc + w])) for dr in steps for dc in steps]
+        return pa.table(dict(zip(("dr", "dc", "px"), (pa.array([x[k] for x in out if x[2]], pa.int64()) for k in range(3)))))
+
+    tiles = lambda x, by: F.explode(F.sequence(F.floor((F.col(x) - by) / tile), F.floor((F.col(x) + by) / tile)))
+    at = lambda cells, by, way: cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).withColumn("tr", tiles("r", by)).withColumn("tc", tiles("c", by)).withColumn("way", F.lit(way))
+    both = at(ways, reach, True).unionByName(at(roads, 0, False))
+    local = both.groupBy("tr", "tc").applyInArrow(kernel, "dr long, dc long, px long")
+    return local.groupBy("dr", "dc").agg(F.sum("px").alias("px"))
+
+
+def registration(shifts: DataFrame, gsd: float) -> str | None:
+    """Verdict on shift_counts: the best shift, the first of equals, against none; null where no shift meets any road."""
+    best = F.max_by(F.struct("dr", "dc"), F.struct("px", -F.col("dr"), -F.col("dc")))
+    row = shifts.agg(best.alias("s"), F.max("px").alias("px"), F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("px"))).alias("zero")).first()
+    return None if row.s is None else registered(row.zero or 0, row.px, float(np.hypot(row.s.dr, row.s.dc)) * gsd)
+
+
 def registered(px_at_zero: int, best_px: int, best_shift_m: float, gain: float = 1.10, ok_m: float = 2.0, bad_m: float = 5.0) -> str:
     """Verdict of a shift search: only a clear, large gain elsewhere says misregistered."""
     if best_px < gain * max(px_at_zero, 1) or best_shift_m <= ok_m:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import taxonomy as tx
-from ..plans import change, products, triage
+from ..plans import change, products, reference_map, triage
 from ..plans.index import CHIP, TILE, index
-from ..sources.cells import PIXEL_M2
+from ..sources.cells import GSD, PIXEL_M2
 from .composition import R6, with_more
 from .duck import sql
 
@@ -391,11 +391,9 @@ def osm_delta(spark, d):
 
 @query("align_shift", sql("ways", "select dr, dc, count(*) px from (select distinct r, c from way_cells) w cross join (select unnest(generate_series(-2, 2)) dr) a cross join (select unnest(generate_series(-2, 2)) dc) b join cells x on x.r = w.r + dr and x.c = w.c + dc where valid and class_id in (8, 9, 10) group by 1, 2"))
 def align_shift(spark, d):
-    """How much road the mapped ways cover at each small shift; the best one says how far they are off."""
+    """How much road the mapped ways cover at each shift of up to 6 m each way; the best one says how far they are off."""
     i = index(spark, d)
-    steps = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("dr"), F.lit(b).cast("long").alias("dc")) for a in range(-2, 3) for b in range(-2, 3))))
-    moved = i.road_cells.select("r", "c", steps.alias("s")).select("s.dr", "s.dc", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"))
-    return moved.join(i.valid.where(F.col("class_id").isin(8, 9, 10)).select("r", "c"), ["r", "c"]).groupBy("dr", "dc").agg(F.count("*").alias("px"))
+    return reference_map.shift_counts(i.road_cells, i.valid.where(F.col("class_id").isin(8, 9, 10)), GSD)
 
 
 GRADE = "case when way_id % 4 = 0 then 'primary' when way_id % 4 = 1 then 'residential' else 'track' end"

@@ -5,6 +5,7 @@ import pytest
 
 from geoloom import catalog
 from geoloom.operators import grid
+from geoloom.plans import reference_map
 from geoloom.plans.index import index
 
 
@@ -43,3 +44,28 @@ def test_densest_window_looks_everywhere(spark, sf):
     for x in rows:
         a[x.r, x.c] = x.v
     assert [tuple(x) for x in catalog.QUERIES["densest_window"](spark, sf).collect()] == [best_window(a, 8, 1)]
+
+
+def test_shifts_reach_six_metres(spark, sf):
+    i = index(spark, sf)
+    ways = {tuple(x) for x in i.road_cells.select("r", "c").collect()}
+    roads = {tuple(x) for x in i.valid.where("class_id in (8, 9, 10)").select("r", "c").collect()}
+    steps = range(-12, 13)  # 6 m of 0.5 m cells
+    want = {(a, b): n for a in steps for b in steps if (n := sum((r + a, c + b) in roads for r, c in ways))}
+    assert {(x.dr, x.dc): x.px for x in catalog.QUERIES["align_shift"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("shift, verdict", [((0, 0), "OK"), ((-1, 2), "OK"), ((6, 0), "DOUBTFUL"), ((-9, 9), "MISREGISTERED")])
+def test_a_shifted_map_is_told(spark, shift, verdict):
+    at = {tuple(x) for x in np.random.default_rng(3).integers(-40, 40, (200, 2)).tolist()}
+    cells = lambda dr, dc: spark.createDataFrame([(r + dr, c + dc) for r, c in at], "r long, c long")
+    counts = reference_map.shift_counts(cells(0, 0), cells(*shift), 0.5, tile=16).collect()
+    assert max(counts, key=lambda x: x.px)[:] == (*shift, len(at))
+    assert len({(x.dr, x.dc) for x in counts}) == len(counts) and sum(x.px for x in counts) == sum(abs(r + shift[0] - y) <= 12 and abs(c + shift[1] - x) <= 12 for r, c in at for y, x in at)
+    assert reference_map.registration(spark.createDataFrame(counts, "dr long, dc long, px long"), 0.5) == verdict
+
+
+def test_no_roads_no_verdict(spark):
+    none = spark.createDataFrame([], "r long, c long")
+    some = spark.createDataFrame([(1, 1)], "r long, c long")
+    assert reference_map.registration(reference_map.shift_counts(some, none, 0.5), 0.5) is None
