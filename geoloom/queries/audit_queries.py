@@ -158,7 +158,7 @@ def audit_summary(spark, d):
 
 @query("sort_severity", sql("nh dim pairs", f"select region_id, cause, severity::double severity from {ALL} f order by severity desc, area_m2 desc, region_id, cause limit 30"))
 def sort_severity(spark, d):
-    return audit(spark, d).findings.orderBy(F.desc("severity"), F.desc("area_m2"), "region_id", "cause").limit(30).select("region_id", "cause", "severity")
+    return audit(spark, d).findings.orderBy(F.desc("severity"), F.desc("area_m2"), "region_id", "cause").select("region_id", "cause", "severity")
 
 
 # ---- adjudication --------------------------------------------------------------------------------

@@ -154,7 +154,7 @@ def dense_renumber(spark, d):
 
 @query("sort_area", sql("regions", "select region_id, area_px from rid order by area_px desc, region_id limit 40"))
 def sort_area(spark, d):
-    return index(spark, d).region_ids.orderBy(F.desc("area_px"), "region_id").limit(40).select("region_id", "area_px")
+    return index(spark, d).region_ids.orderBy(F.desc("area_px"), "region_id").select("region_id", "area_px")
 
 
 @query("evidence_cap", sql("regions", "select class_id, array_to_string(list_slice(list_sort(list(region_id)), 1, 25), ',') ids, count(*) total from rid group by 1"))

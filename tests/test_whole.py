@@ -7,6 +7,7 @@ from geoloom import catalog
 from geoloom.operators import grid
 from geoloom.plans import reference_map
 from geoloom.plans.index import index
+from geoloom.queries import audit_queries
 
 
 def test_georeference_places_every_cell(spark, sf):
@@ -69,3 +70,11 @@ def test_no_roads_no_verdict(spark):
     none = spark.createDataFrame([], "r long, c long")
     some = spark.createDataFrame([(1, 1)], "r long, c long")
     assert reference_map.registration(reference_map.shift_counts(some, none, 0.5), 0.5) is None
+
+
+def test_sorts_keep_all_rows(spark, sf):
+    got = [tuple(x) for x in catalog.QUERIES["sort_area"](spark, sf).collect()]
+    assert len(got) > 40 and got == sorted((tuple(x) for x in index(spark, sf).region_ids.select("region_id", "area_px").collect()), key=lambda x: (-x[1], x[0]))
+    found = audit_queries.audit(spark, "/root/testdata/sf0.01").findings.select("region_id", "cause", "severity", "area_m2").collect()
+    want = [tuple(x)[:3] for x in sorted(found, key=lambda x: (-x.severity, -x.area_m2, x.region_id, x.cause))]
+    assert len(want) > 30 and [tuple(x) for x in catalog.QUERIES["sort_severity"](spark, "/root/testdata/sf0.01").collect()] == want
