@@ -105,10 +105,10 @@ class LogBilinear:
         flat[-CLASSES:] = np.log(unigram)
         return cls(flat, unigram)
 
-    def train(self, seq: np.ndarray, rng: np.random.Generator, state: np.ndarray) -> None:
-        """One pass of noise-contrastive steps over a class sequence; state: squared gradients so far."""
+    def train(self, seq: np.ndarray, tokens: np.ndarray, rng: np.random.Generator, state: np.ndarray) -> None:
+        """One pass of noise-contrastive steps over the tokens of a class sequence, given by position; state: squared gradients so far."""
         noise_log = np.log(NOISE * self.unigram).astype(np.float32)
-        order = rng.permutation(np.arange(2, len(seq)))
+        order = rng.permutation(tokens)
         views = LogBilinear(state, self.unigram)
         for i in range(0, len(order), BATCH):
             at = order[i : i + BATCH]
@@ -173,8 +173,11 @@ class Vocabulary:
     def class_of(self, word: bytes, place: int) -> int:
         return WORDS if word == END else place if place < WORDS else WORDS + 1 + ending(word)
 
-    def sequence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """(classes with two ends before all, places in the head or -1, text of each token, words, tokens' word or -1)."""
+    def sequence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """(classes with two ends before each text, tokens' positions in them, places in the head or -1, text of each token, words, tokens' word or -1).
+
+        The end of a text is the first of the two ends before the next, so a text's first token never sees another text.
+        """
         words, endings, edges = tokens_of(texts)
         get = self.index.get
         place = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
@@ -188,7 +191,11 @@ class Vocabulary:
         own = np.where(place >= 0, self.classes[place] if len(self.classes) else 0, WORDS + 1 + endings)
         classes[~is_end] = own
         origin[~is_end] = np.arange(len(words))
-        return np.concatenate([[WORDS, WORDS], classes]).astype(np.int16), places, np.repeat(np.arange(len(texts)), n + 1), words, origin
+        owner = np.repeat(np.arange(len(texts)), n + 1)
+        tokens = np.arange(total) + owner + 2
+        seq = np.full(total + len(texts) + 1, WORDS, np.int16)
+        seq[tokens] = classes
+        return seq, tokens, places, owner, words, origin
 
 
 def _vocabulary(counts: DataFrame) -> Vocabulary:
@@ -230,14 +237,14 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary, start: np.ndarray, passes
         model, state, seen, rng = LogBilinear(start.copy(), v.unigram), np.zeros_like(start), 0, np.random.default_rng(17)
         kept = []
         for _, block in text_blocks(batches, 4 << 20):
-            seq = v.sequence([t or b"" for t in block])[0]
-            model.train(seq, rng, state)
-            seen += len(seq) - 2
+            seq, tokens = v.sequence([t or b"" for t in block])[:2]
+            model.train(seq, tokens, rng, state)
+            seen += len(tokens)
             if passes > 1:
-                kept.append(seq)
+                kept.append((seq, tokens))
         for _ in range(passes - 1):
-            for seq in kept:
-                model.train(seq, rng, state)
+            for seq, tokens in kept:
+                model.train(seq, tokens, rng, state)
         if seen:
             yield record_batch(pa.schema([("flat", pa.binary()), ("seen", pa.int64())]), [model.flat.tobytes()], [seen])
 
@@ -299,9 +306,9 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, count
         for batch in batches:
             for rows in _blocks(batch):
                 keys, ids, texts = zip(*rows)
-                seq, places, owner, words, origin = v.sequence([t or b"" for t in texts])
-                logs = model.logs(seq) / np.log(10.0)
-                cls = seq[2:]
+                seq, tokens, places, owner, words, origin = v.sequence([t or b"" for t in texts])
+                logs = model.logs(seq)[tokens - 2] / np.log(10.0)
+                cls = seq[tokens]
                 rare = cls > WORDS
                 logs[rare] -= log_mass[cls[rare] - WORDS - 1]
                 held = places >= 0

@@ -98,3 +98,19 @@ def test_pipeline_stages(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.staged(stage(spark, empty, sf))
         assert empty.count() == 0
+
+
+def test_a_texts_score_does_not_depend_on_the_text_before_it():
+    texts = [b"red fish", b"", b"blue", b"red fish", b"blue fish odd", b"", b""]
+    head = [(lm_scoring.END, 7), (b"fish", 3), (b"red", 2), (b"blue", 2)]
+    v = lm_scoring.Vocabulary(head, 14, 4, np.ones(lm_scoring.ENDINGS), np.ones(lm_scoring.CLASSES)).ready()
+    model = lm_scoring.LogBilinear.start(v.unigram)
+
+    def scores(block):
+        seq, tokens, _, owner, _, _ = v.sequence(block)
+        assert len(tokens) == sum(len(t.split()) + 1 for t in block)
+        return np.bincount(owner, model.logs(seq)[tokens - 2], len(block))
+
+    got = scores(texts)
+    assert np.allclose(got, [scores([t])[0] for t in texts], atol=1e-4)
+    assert abs(got[0] - got[3]) < 1e-4 and np.ptp(got[[1, 5, 6]]) < 1e-4
