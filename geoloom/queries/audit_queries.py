@@ -156,7 +156,7 @@ def audit_summary(spark, d):
     return audit(spark, d).findings.agg(F.count("*").alias("n_findings"), F.count_distinct("cause").alias("n_causes"), F.count_distinct("region_id").alias("n_regions"))
 
 
-@query("sort_severity", sql("nh dim pairs", f"select region_id, cause, severity::double severity from {ALL} f order by severity desc, area_m2 desc, region_id, cause limit 30"))
+@query("sort_severity", sql("nh dim pairs", f"select region_id, cause, severity::double severity from {ALL} f order by severity desc, area_m2 desc, region_id, cause"))
 def sort_severity(spark, d):
     return audit(spark, d).findings.orderBy(F.desc("severity"), F.desc("area_m2"), "region_id", "cause").select("region_id", "cause", "severity")
 

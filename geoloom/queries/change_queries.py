@@ -389,7 +389,7 @@ def osm_delta(spark, d):
     return _overlay(index(spark, d)).agg(R6(F.count_if(F.abs(F.col("after") - F.col("before")) > 1e-9) / F.count("*")).alias("moved"), R6(F.avg("before")).alias("before"), R6(F.avg("after")).alias("after"))
 
 
-@query("align_shift", sql("ways", "select dr, dc, count(*) px from (select distinct r, c from way_cells) w cross join (select unnest(generate_series(-2, 2)) dr) a cross join (select unnest(generate_series(-2, 2)) dc) b join cells x on x.r = w.r + dr and x.c = w.c + dc where valid and class_id in (8, 9, 10) group by 1, 2"))
+@query("align_shift", sql("ways", "select dr, dc, count(*) px from (select distinct r, c from way_cells) w cross join (select unnest(generate_series(-12, 12)) dr) a cross join (select unnest(generate_series(-12, 12)) dc) b join cells x on x.r = w.r + dr and x.c = w.c + dc where valid and class_id in (8, 9, 10) group by 1, 2"))
 def align_shift(spark, d):
     """How much road the mapped ways cover at each shift of up to 6 m each way; the best one says how far they are off."""
     i = index(spark, d)

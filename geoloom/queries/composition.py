@@ -119,7 +119,7 @@ def gsd_from_header(spark, d):
     return index(spark, d).cells.where("c = 0").select("r", R6(F.lit(5e-6) * 111320 * F.cos(F.radians(31 + F.col("r") * 0.001))).alias("gsd_x"), R6(F.lit(5e-6) * 110540).alias("gsd_y"))
 
 
-@query("georeference", sql("cells", "select r, c, round(35.0 + (c + 0.5) * (35.2 - 35.0) / w, 9) lon, round(31.1 - (r + 0.5) * (31.1 - 31.0) / h, 9) lat from cells, (select max(r) + 1 h, max(c) + 1 w from cells) e where r % 10 = 0 and c % 10 = 0"))
+@query("georeference", sql("cells", "select r, c, round(35.0 + (c + 0.5) * (35.2 - 35.0) / w, 9) lon, round(31.1 - (r + 0.5) * (31.1 - 31.0) / h, 9) lat from cells, (select max(r) + 1 h, max(c) + 1 w from cells) e"))
 def georeference(spark, d):
     """A bounding box and a shape give a north-up affine; cell centres in degrees."""
     c = index(spark, d).cells
@@ -312,13 +312,13 @@ def prefix_sum(spark, d):
     return grid.prefix_sum(index(spark, d).cells.withColumn("v", (F.col("class_id") == 4).cast("int")), "v", "total").select("r", "c", "total")
 
 
-@query("densest_window", sql("cells", "select x.r, x.c, sum((y.class_id = 4)::int)::bigint total from cells x join cells y on y.r between x.r and x.r + 7 and y.c between x.c and x.c + 7 where x.r % 8 = 0 and x.c % 8 = 0 and x.r + 8 <= (select max(r) + 1 from cells) and x.c + 8 <= (select max(c) + 1 from cells) group by 1, 2 order by 3 desc, 1, 2 limit 1"))
+@query("densest_window", sql("cells", "select x.r, x.c, sum((y.class_id = 4)::int)::bigint total from cells x join cells y on y.r between x.r and x.r + 7 and y.c between x.c and x.c + 7 where x.r + 8 <= (select max(r) + 1 from cells) and x.c + 8 <= (select max(c) + 1 from cells) group by 1, 2 order by 3 desc, 1, 2 limit 1"))
 def densest_window(spark, d):
     cells = index(spark, d).cells.withColumn("v", (F.col("class_id") == 4).cast("int"))
     return grid.densest_window(cells, "v", 8, 1)
 
 
-@query("mosaic_seam", sql("cells", "select r, c, class_id from cells where valid and r % 5 = 0 and c % 5 = 0"))
+@query("mosaic_seam", sql("cells", "select r, c, class_id from cells where valid"))
 def mosaic_seam(spark, d):
     """Two overlapping tiles put together: the later one wins, and the frame is cropped to the data."""
     c = index(spark, d).cells

@@ -152,7 +152,7 @@ def dense_renumber(spark, d):
     return index(spark, d).region_ids.select("root", "region_id")
 
 
-@query("sort_area", sql("regions", "select region_id, area_px from rid order by area_px desc, region_id limit 40"))
+@query("sort_area", sql("regions", "select region_id, area_px from rid order by area_px desc, region_id"))
 def sort_area(spark, d):
     return index(spark, d).region_ids.orderBy(F.desc("area_px"), "region_id").select("region_id", "area_px")
 
