@@ -245,14 +245,16 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span, merged where spans overlap, replaced by its kind in brackets.
 
     A row's columns travel once, on the row's own line beside its matches, through the one shuffle.
+    A null text stays null; rows without doc_id and repeated rows are redacted each by itself; an
+    empty table stays empty; other columns, whatever their names and types, are carried.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.struct(*docs.columns).alias("carried"))
     found = _placed(rows).select("rid", "carried", "span.*")
     so_far = Window.partitionBy("rid").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("start") >= F.max("end").over(so_far), F.lit(True)).cast("int")
     islands = found.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(Window.partitionBy("rid").orderBy("start", "order")))
-    one = islands.groupBy("rid", "island").agg(F.max("carried").alias("carried"), F.min("start").alias("a"), F.max("end").alias("z"), F.min_by("kind", F.struct("start", "order")).alias("kind"))
-    whole = one.groupBy("rid").agg(F.max("carried").alias("d"), F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "z", "kind")))).alias("s"))
+    one = islands.groupBy("rid", "island").agg(F.expr("any_value(carried, true)").alias("carried"), F.min("start").alias("a"), F.max("end").alias("z"), F.min_by("kind", F.struct("start", "order")).alias("kind"))
+    whole = one.groupBy("rid").agg(F.expr("any_value(carried, true)").alias("d"), F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "z", "kind")))).alias("s"))
     cut = """concat(array_join(transform(s, (x, i) -> concat(substring(d.text, int(if(i = 0, 0, s[greatest(i - 1, 0)].z) + 1), int(x.a - if(i = 0, 0, s[greatest(i - 1, 0)].z))), '[', upper(x.kind), ']')), ''),
         substring(d.text, int(s[size(s) - 1].z + 1)))"""
     out = whole.withColumn("cut", F.when(F.size("s") > 0, F.expr(cut)).otherwise(F.col("d.text")))
