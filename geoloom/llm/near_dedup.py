@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
-SKETCH = "doc_id long, n_shingles long, words_id binary, registers binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, words_id binary, registers binary, bands array<long>, key long"
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -130,15 +131,16 @@ def likely(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray,
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words_id", pa.binary()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words_id", pa.binary()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64())), ("key", pa.int64())])
         for ids, texts in text_blocks(batches, 1 << 19):
             texts = [t or b"" for t in texts]
+            keys = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
             sets = shingle_sets(texts, width)
             regs = [registers_of(s) if len(s) else None for s in sets]
             some = [r for r in regs if r is not None]
             bands = iter(band_keys(np.array(some))) if some else iter(())
             words = [hashlib.md5(b"\x20".join(t.lower().split())).digest() if r is not None else None for t, r in zip(texts, regs)]
-            yield record_batch(schema, ids, [len(s) for s in sets], words, [None if r is None else r.tobytes() for r in regs], [None if r is None else next(bands) for r in regs])
+            yield record_batch(schema, ids, [len(s) for s in sets], words, [None if r is None else r.tobytes() for r in regs], [None if r is None else next(bands) for r in regs], keys)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, SKETCH)
 
@@ -312,6 +314,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     each of its texts; a row without doc_id is linked with nothing, has no component and is kept.
     Empty tables give an empty result; other columns are ignored.
     """
+    return _components(docs, width, num, den).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The rows of near_duplicates with words_id (equal words, equal id; null without words) and key (a hash of the text)."""
     threshold = num / den
     every = staged(sketches(docs, width))
     some = every.where("words_id is not null and doc_id is not null")
@@ -340,17 +347,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     second = staged(_confirmed(staged(_apart(members, docs, width, num, den)), docs, width, num, den))
     roots = connected_components(first.unionByName(second))
     names = nodes.select("words_id", "id").join(roots.select(F.col("node").alias("id"), "component"), "id", "left").groupBy("words_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
-    out = every.select("doc_id", "n_shingles", "words_id").join(names, "words_id", "left")
+    out = every.select("doc_id", "n_shingles", "words_id", "key").join(names, "words_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "words_id", "key")
 
 
 def drop_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest doc_id, once."""
-    dropped = near_duplicates(docs, width, num, den).where("not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    alike = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_copy", F.row_number().over(alike)).where("_copy = 1").select(docs.columns)
+    """One document of each component, with all its columns: the one with the smallest doc_id, once.
+
+    Rows with one doc_id but different words are judged each by its own text; those with the same
+    words are one, the one with the least hash of its text.  Null, empty and blank texts stay, once
+    for each doc_id and text; rows without doc_id all stay; an empty table stays empty; other
+    columns, whatever their names and types, are carried.
+    """
+    found = staged(_components(docs, width, num, den).where("doc_id is not null").select("doc_id", "key", "words_id", "kept"))
+    lone = found.where("kept and words_id is not null").groupBy("doc_id", "words_id").agg(F.min("key").alias("one"), F.max("key").alias("last")).where("one < last")
+    again = found.join(lone, ["doc_id", "words_id"]).where("key > one").select("doc_id", "key")
+    dropped = found.where("not kept").select("doc_id", "key").unionByName(again).distinct().select(F.col("doc_id").alias("id"), "key")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("row.text").cast("binary"), F.lit(b""))))
+    alike = Window.partitionBy("id", "key", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).orderBy("key")
+    kept = rows.join(dropped, ["id", "key"], "left_anti").withColumn("n", F.row_number().over(alike)).where("n = 1")
+    return kept.select("row.*")
 
 
 def brute_force(docs: list[tuple], width: int, num: int, den: int) -> list[tuple]:

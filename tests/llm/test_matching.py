@@ -60,6 +60,17 @@ def test_near_duplicates_odd_tables(spark):
     assert near_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_dropped_duplicates_are_judged_by_their_own_text(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(7, a, "x"), (7, b, "x"), (7, a.upper(), "y"), (9, b, "z"), (9, "n o t h i n g", "z"), (None, a, "n"), (None, a, "n"), (3, None, "e"), (3, None, "e"), (4, "", "e"), (5, "n o t  h i n g", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _copy string").withColumn("key", F.create_map("_copy", "text"))
+    kept = near_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), " ".join((r.text or "").lower().split())) for r in kept.collect())
+    assert got == sorted([("7", a), ("7", b), ("None", a), ("None", a), ("3", ""), ("4", ""), ("5", "n o t h i n g")])
+    assert all(r.key == {r._copy: r.text} for r in kept.collect())
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 1 << 62, (2, 500)).astype(np.uint64)
