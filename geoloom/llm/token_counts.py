@@ -58,11 +58,13 @@ def count_spliced(encode, text: str, chunk: int, overlap: int) -> tuple[int, int
     begin, end = 0, min(chunk, n)
     enc = encode(text[begin:end])
     starts, first, total = word_starts(enc, begin), 0, 0  # tokens before `first` are counted
+    grow, unbroken = chunk // 2, False
     while end < n:
         width = overlap
         while True:
             left = max(begin, end - width)
-            right = min(n, max(left + chunk, end + chunk // 2))
+            # after a stretch without boundaries a short probe comes first, and a stretch that goes on doubles
+            right = min(n, end + overlap if unbroken and left > begin else max(left + chunk, end + grow))
             nxt = encode(text[left:right])
             chunks += 1
             after = word_starts(nxt, left)
@@ -76,6 +78,8 @@ def count_spliced(encode, text: str, chunk: int, overlap: int) -> tuple[int, int
                 cut, skip = starts[p], after[p]
                 break
             width *= 2
+        unbroken = left == begin
+        grow = 2 * grow if unbroken else chunk // 2
         total += cut - first
         begin, end, starts, first = (left, right, after, skip)
         enc = nxt

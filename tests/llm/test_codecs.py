@@ -50,6 +50,16 @@ def test_splicing_is_exact():
             assert n == len(encode(t).ids) and (chunks > 1) == (len(t) > chunk)
 
 
+def test_long_unbroken_text_is_encoded_a_few_times():
+    tok = token_counts.tokenizer(P.path("byte_bpe_50k.json"))
+    seen = []
+    encode = lambda s: seen.append(len(s)) or tok.encode(s, add_special_tokens=False)
+    for t in ["ab" * 30000, "ab" * 60000, "x y " * 9000 + "ab" * 30000 + " x y" * 9000]:
+        seen.clear()
+        assert token_counts.count_spliced(encode, t, 4096, 256)[0] == len(tok.encode(t, add_special_tokens=False).ids)
+        assert sum(seen) < 10 * len(t)
+
+
 @pytest.mark.parametrize("run", [lambda d: token_counts.count_tokens(d, P.path("byte_bpe_50k.json"), chunk_chars=200, overlap_chars=80), lambda d: bpe_codec.encode_decode(d, P.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)])
 def test_odd_rows(spark, run):
     rows = [(1, None), (2, ""), (3, "x" * 900), (None, "no id"), (3, "x" * 900), (4, "a b " * 300)]
