@@ -231,7 +231,9 @@ def char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[int]:
     if not spans:
         return []
     places = [m.span() for m in WORD.finditer(text)]
-    return [len(text[:x].decode()) for a, b in spans for x in (places[a][0], places[b - 1][1])]
+    at = np.array([x for a, b in spans for x in (places[a][0], places[b - 1][1])])
+    first = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80  # bytes that start a character
+    return np.concatenate([[0], np.cumsum(first)])[at].tolist()
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -314,7 +316,11 @@ def _pass(block: list, width: int, first: bool, last: bool):
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs with the removal spans cut out of their texts; other texts stay as they are."""
+    """docs with the removal spans cut out of their texts; other texts stay as they are.
+
+    A null text stays null; rows without doc_id and repeated rows are cut each by itself; empty
+    tables of documents or items change nothing; other columns, whatever their names, are carried.
+    """
     found = decontaminate(docs, benchmark, width, carry=True)
     hit, cut = F.size("_spans") > 0, F.expr(
         """concat(array_join(transform(sequence(0, size(_spans) div 2 - 1), i ->
