@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, keyed_texts, record_batch, text_blocks
 
-#: Bound of the fit: labelled rows with a toxic and with a clean label that are used, lowest hash first.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
+#: Bound of the fit: labelled rows with a toxic and with a clean label that are used, lowest hash
+#: first, and bytes of their texts; one task holds them.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 2500, 48 << 20
 #: Landmarks, words used as negatives, price of a place in a span, longest span.
 LANDMARKS, NEGATIVES, DECAY, SPAN = 320, 12000, 0.6, 6
 #: Words whose value a worker keeps.
@@ -177,20 +178,28 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 class Model:
     """Folded triple weights and bias of the machine, and the calibration of a text's score."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
-        self.weight, self.bias = np.zeros(SIGMA**3, np.float32), -1.0
+    def __init__(self, weight: np.ndarray | None = None, bias: float = -1.0, calibration: np.ndarray | None = None):
+        self.weight = np.zeros(SIGMA**3, np.float32) if weight is None else weight
+        self.bias = bias
+        self.calibration = np.array([0.0] * 5 + [-3.0]) if calibration is None else calibration
+
+    @classmethod
+    def trained(cls, rows: list[tuple[str, int]]) -> Model:
+        model = cls()
         same: dict[str, str] = {}  # one string a word, however many texts have it
         texts, y = [[same.setdefault(w, w) for w in words_of(t)] for t, _ in rows], np.array([v for _, v in rows])
-        self.calibration = np.zeros(6)
-        self.calibration[-1] = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -3.0
+        if len(y):
+            model.calibration[-1] = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         if not len(y) or y.min() == y.max():
-            return
+            return model
         # machine and calibration see different halves, so the calibration isn't fooled by memory
         half = np.arange(len(rows)) % 2 == 0
-        self._machine([t for t, h in zip(texts, half) if h], y[half])
-        x = np.array([summary(word_values(list(dict.fromkeys(t)), self.weight, self.bias), len(t)) for t, h in zip(texts, half) if not h])
-        self.calibration = logistic(x, y[~half]) if y[~half].min() != y[~half].max() else self.calibration
-        self._machine(texts, y)
+        model._machine([t for t, h in zip(texts, half) if h], y[half])
+        x = np.array([summary(word_values(list(dict.fromkeys(t)), model.weight, model.bias), len(t)) for t, h in zip(texts, half) if not h])
+        if y[~half].min() != y[~half].max():
+            model.calibration = logistic(x, y[~half])
+        model._machine(texts, y)
+        return model
 
     def _machine(self, texts: list[list[str]], y: np.ndarray) -> None:
         toxic, clean = Counter(), Counter()
@@ -248,14 +257,33 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of labelled rows that aren't held out: the lowest hashes of each label."""
+    """Train, in one task, on a bounded sample of labelled rows that aren't held out.
+
+    The lowest hashes of each label are taken, TRAIN_TOXIC and TRAIN_CLEAN ids at most, and their
+    texts in that order up to TRAIN_BYTES.  Only the folded weights come to the driver.  Null
+    labels, ids and labels other than 0 and 1 are left out, a null text is empty, an id with both
+    labels counts in both samples, and empty tables give a machine that knows nothing.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     order = F.crc32(F.concat(F.lit("train"), F.col("doc_id").cast("string")).cast("binary"))
     pick = lambda label, n: marked.where(F.col("toxic") == label).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(n)
     chosen = pick(1, TRAIN_TOXIC).unionByName(pick(0, TRAIN_CLEAN))
-    rows = keyed_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1] or ""))
-    return Model([(r[1] or "", r[2]) for r in rows])
+    rows = keyed_texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("at"), "doc_id")
+    one = rows.repartition(1).sortWithinPartitions("at", "doc_id", "text", "toxic").select("text", "toxic")
+    row = map_arrow(one, _fitted, "weight binary, bias double, calibration binary").first()
+    return Model() if row is None else Model(np.frombuffer(bytes(row[0]), np.float32), row[1], np.frombuffer(bytes(row[2]), np.float64))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for batch in batches:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            size += len(text or "")
+            if size <= TRAIN_BYTES:
+                rows.append((text or "", toxic))
+    model = Model.trained(rows)
+    schema = pa.schema([("weight", pa.binary()), ("bias", pa.float64()), ("calibration", pa.binary())])
+    yield record_batch(schema, [model.weight.tobytes()], [float(model.bias)], [model.calibration.tobytes()])
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -280,7 +308,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose text isn't called toxic."""
+    """The rows of docs, with all their columns, whose text isn't called toxic.
+
+    A null text is scored as empty and stays null; rows without doc_id and repeated rows are judged
+    like any other; an empty table stays empty; other columns, whatever their names, are carried.
+    """
     names = docs.columns
     at = names.index("text")
 

@@ -58,11 +58,36 @@ def test_toxicity_tolerates_gaps_and_odd_rows(spark):
     assert s[1].predicted == s[2].predicted == s[6].predicted == 0 and s[1].score == s[2].score
     assert s[None].held_out is False
     assert toxicity.score_texts(d.limit(0), m).collect() == []
-    assert toxicity.Model([]).scores(["x"], {})[0][0] < 0.5
+    assert toxicity.Model.trained([]).scores(["x"], {})[0][0] < 0.5
     kept = toxicity.keep_clean(d, m)
     assert kept.columns == d.columns and kept.where("doc_id % 3 = 0").count() < 20 and kept.where("doc_id % 3 <> 0").count() > 390
 
 
+def test_word_values_are_a_kernel_expansion():
+    """The folded weights give the same as the sum over landmarks of gapped-subsequence kernels, counted place by place."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcid.o") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    marks, alpha = words[:7], [rng.uniform(-1, 1) for _ in range(7)]
+
+    def triples(word):
+        sym = [0, *(toxicity._TABLE[ord(c)] for c in word), 0]
+        out, norm = {}, 0.0
+        for i in range(len(sym)):
+            for j in range(i + 1, len(sym)):
+                for k in range(j + 1, min(len(sym), i + toxicity.SPAN + 1)):
+                    t = (sym[i], sym[j], sym[k])
+                    if toxicity.GAP not in t and t[:2] != (0, 0):
+                        w = toxicity.DECAY ** (k - i)
+                        out[t] = out.get(t, 0.0) + w
+                        norm += w * w
+        return {t: w / max(norm, 1e-6) ** 0.5 for t, w in out.items()}
+
+    kernel = lambda a, b: sum(w * triples(b).get(t, 0.0) for t, w in triples(a).items())
+    weight = (toxicity.word_features(marks) * np.array(alpha, np.float32)[:, None]).sum(axis=0)
+    want = [sum(a * kernel(w, m) for a, m in zip(alpha, marks)) + 0.25 for w in words]
+    assert np.allclose(toxicity.word_values(words, weight, 0.25), want, atol=1e-4)
+
+
 def test_personal_data(spark):
     rng = random.Random(3)
     bits = ["a.b@c.de", "x@y", "@", "1.2.3.4", "256.1.1.1", "0001.2.3.004", "4111111111111111", "4111 1111 1111 1111", "4111-1111", "+1 (555) 555-1234", "+49 30 123456789", "+", "é", "\U0001f600", " ", ".", "-", "12", "_d@e.f.g", "\n"]
@@ -83,6 +108,15 @@ def test_personal_data_beyond_the_base(spark):
     assert red[6].text == "[EMAIL] [IP]" and red[6].n_chars == 12 and red[5].text is None and red[4].text == "version 2020-10-11 of 12.11.2020" and "4567" not in red[2].text
 
 
+def test_redaction_carries_any_column(spark):
+    df = spark.createDataFrame([(1, "a@b.cd and a@b.cd", "x"), (2, None, "y"), (None, "1.2.3.4", "z"), (1, "a@b.cd and a@b.cd", "x")], "doc_id long, text string, carried string")
+    df = df.withColumn("m", F.create_map("carried", "doc_id")).withColumn("span", F.array("carried"))
+    got = sorted(tuple(map(str, r)) for r in pii.redact(df).collect())
+    one = ("1", "[EMAIL] and [EMAIL]", "x", "{'x': 1}", "['x']")
+    assert got == sorted([one, one, ("2", "None", "y", "{'y': 2}", "['y']"), ("None", "[IP]", "z", "{'z': None}", "['z']")])
+    assert pii.redact(df.limit(0)).collect() == []
+
+
 def test_pipeline_stages(spark, sf):
     docs = load(spark, sf, "documents")
     seen = {"start": docs.count()}
