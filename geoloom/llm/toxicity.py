@@ -110,18 +110,24 @@ def word_features(words: list[str]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps on the active rows."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    reg = np.eye(x1.shape[1])
+    """Squared-hinge linear machine by Newton steps on the active rows, which are read in blocks."""
+    n = x.shape[1] + 1
+    reg = np.eye(n)
     reg[-1, -1] = 1e-3
-    w, before = np.zeros(x1.shape[1]), None
+    w, before = np.zeros(n), None
+    blocks = [slice(i, i + 1024) for i in range(0, len(x), 1024)]
+    wide = lambda b: np.hstack([x[b].astype(np.float64), np.ones((len(x[b]), 1))])
     for _ in range(rounds):
-        active = y * (x1 @ w) < 1
+        active = np.concatenate([y[b] * (wide(b) @ w) < 1 for b in blocks])
         if before is not None and (active == before).all():
             break
         before = active
-        xa = x1[active] * cost[active, None]
-        new = np.linalg.solve(reg + x1[active].T @ xa, xa.T @ y[active])
+        left, right = reg.copy(), np.zeros(n)
+        for b in blocks:
+            xb = wide(b)[active[b]]
+            left += xb.T @ (xb * cost[b][active[b], None])
+            right += xb.T @ (cost[b] * y[b])[active[b]]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, rtol=1e-4, atol=1e-4):
             break
         w = new
@@ -216,22 +222,23 @@ class Model:
         neg = pool[:NEGATIVES]
         # landmarks of the other side: the negatives nearest to the insults, and common words
         phi_pos = word_features(marks)
-        near = np.concatenate([(word_features(neg[i : i + 100]) @ phi_pos.T).max(axis=1) for i in range(0, len(neg), 100)]) if neg else np.zeros(0)
+        near = np.concatenate([(word_features(neg[i : i + 50]) @ phi_pos.T).max(axis=1) for i in range(0, len(neg), 50)]) if neg else np.zeros(0)
         rest = LANDMARKS - len(marks)
         marks = list(dict.fromkeys(marks + [neg[i] for i in np.argsort(-near, kind="stable")[: rest * 3 // 4]] + neg[: rest // 4]))
         phi = word_features(marks)
         lam, u = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         keep = lam > 1e-4 * lam[-1]
         root = u[:, keep] / np.sqrt(lam[keep])
-        explicit = lambda ws: np.concatenate([word_features(ws[i : i + 100]) @ phi.T for i in range(0, len(ws), 100)]).astype(np.float64) @ root
+        root32 = root.astype(np.float32)
+        explicit = lambda ws: np.concatenate([word_features(ws[i : i + 50]) @ phi.T @ root32 for i in range(0, len(ws), 50)])
         x_pos, weight = explicit([w for w, _ in pos]), np.sqrt(np.array([n for _, n in pos], float))
         for _ in range(3):
             x = np.concatenate([x_pos, explicit(neg)]) if neg else x_pos
             label = np.array([1.0] * len(pos) + [-1.0] * len(neg))
             w, self.bias = svm(x, label, np.concatenate([30 * weight, np.full(len(neg), 10.0)]))
-            self.weight = (phi.T.astype(np.float64) @ (root @ w)).astype(np.float32)
+            self.weight = (root @ w).astype(np.float32) @ phi
             # negatives of the next round: those of the whole pool that come nearest to being called insults
-            value = np.concatenate([word_values(pool[i : i + 20000], self.weight, self.bias) for i in range(0, len(pool), 20000)]) if pool else np.zeros(0)
+            value = np.concatenate([word_values(pool[i : i + 4000], self.weight, self.bias) for i in range(0, len(pool), 4000)]) if pool else np.zeros(0)
             hard = [pool[i] for i in np.argsort(-value, kind="stable")[: NEGATIVES // 4] if value[i] > -1]
             neg = list(dict.fromkeys(neg + hard))
 
