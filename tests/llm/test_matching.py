@@ -125,22 +125,69 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(df.limit(0)).collect() == []
 
 
-def test_suffix_order():
+def sorted_suffixes(symbols, sigma, most):
+    text, got = induced.Text(), []
+    text.append(np.array(symbols))
+    induced.order_suffixes(text.mapped(), sigma, lambda at, shared: got.extend(zip(at.tolist(), shared.tolist())), most)
+    text.close()
+    return got
+
+
+def naive_suffixes(symbols, most):
+    ends = [i for i, x in enumerate(symbols) if not x]
+    tail = lambda i: [x + 10**6 for x in symbols[i : next(e for e in ends if e >= i)]] + [next(e for e in ends if e >= i)]
+    order = sorted((i for i, x in enumerate(symbols) if x), key=tail, reverse=True)
+    share = lambda a, b: min(most, next(k for k, (x, y) in enumerate(zip(tail(a), tail(b))) if x != y or x < 10**6))
+    return [(i, share(order[k - 1], i) if k else 0) for k, i in enumerate(order)]
+
+
+@pytest.mark.parametrize("chunk,queue,base", [(1 << 16, 8 << 20, 1 << 18), (5, 200, 3), (64, 500, 8)])
+def test_suffix_order(monkeypatch, chunk, queue, base):
+    """Order and shared lengths, with queues on disk and recursion wherever names repeat."""
+    monkeypatch.setattr(induced, "CHUNK", chunk)
+    monkeypatch.setattr(induced, "QUEUE_BYTES", queue)
+    monkeypatch.setattr(induced, "BASE", base)
+    monkeypatch.setattr(induced, "DIGIT", 4 if base == 3 else 2048)
     rng = np.random.default_rng(1)
-    before, induced.QUEUE_BYTES = induced.QUEUE_BYTES, 1000  # so that queues go to disk
-    try:
-        for _ in range(150):
-            t = np.array([x for _ in range(rng.integers(1, 8)) for x in [*rng.integers(1, 1 + rng.integers(1, 5), rng.integers(0, 12)), 0]], np.uint16)
-
-            def key(i, t=t):
-                j = i
-                while t[j]:
-                    j += 1
-                return [int(x) + 10**6 for x in t[i:j]] + [j]
-
-            assert induced.suffix_order(t, lambda s, e, t=t: span_hashes(t.astype(np.uint8), s, e)).tolist() == sorted(range(len(t)), key=key)
-    finally:
-        induced.QUEUE_BYTES = before
+    for _ in range(60):
+        t = [int(x) for _ in range(rng.integers(1, 8)) for x in [*rng.integers(1, 1 + rng.integers(1, 5), rng.integers(0, 40)), 0]]
+        assert sorted_suffixes(t, 6, 9) == naive_suffixes(t, 9)
+
+
+def test_a_shard_larger_than_memory(monkeypatch):
+    """Queues of 64 kB, 2,048 tuples at once: memory stays far below what the tuples of the text take, and doesn't grow with it."""
+    import tracemalloc
+
+    monkeypatch.setattr(induced, "CHUNK", 2048)
+    monkeypatch.setattr(induced, "QUEUE_BYTES", 1 << 16)
+    monkeypatch.setattr(induced, "BASE", 1 << 10)
+    rng = np.random.default_rng(2)
+    words = [rng.integers(1, 257, rng.integers(2, 30)) for _ in range(300)]
+    text, n = induced.Text(), 0
+    while n < 400_000:
+        piece = np.concatenate([words[k] for k in rng.integers(0, 300, 40)] + [np.zeros(1, int)])
+        text.append(piece)
+        n += len(piece)
+    whole = text.mapped().symbols[: text.n].tolist()
+    seen, last, checked = 0, None, 0
+    sorted_suffixes([1, 2, 0], 6, 9)  # so that tables of fixed size are there already
+    tracemalloc.start()
+
+    def sink(at, shared):
+        nonlocal seen, last, checked
+        for i, k in zip(at.tolist(), shared.tolist()):
+            if seen % 150 == 1:
+                a, b = whole[last : last + 60], whole[i : i + 60]
+                same = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y or not x), 60)
+                assert k == min(50, same) and (same == 60 or a[same] > b[same] or not a[same])
+                checked += 1
+            seen, last = seen + 1, i
+
+    induced.order_suffixes(text, 257, sink, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == sum(x > 0 for x in whole) and checked > 2000
+    assert 3 * peak < 17 * seen, peak  # plain tuples alone take 17 bytes a suffix
 
 
 @pytest.mark.parametrize("block", [4 << 20, 3000])
