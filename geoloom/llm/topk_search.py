@@ -1,30 +1,38 @@
 """Exact top-k inner-product search with norm-bucketed retrieval.
 
-Vectors are packed into buckets of similar length, longest first.  A query block walks through the
-buckets of one group with a running threshold: the score of its k-th best so far.  Against a
-bucket, the threshold becomes a local cosine threshold.  Above 1 the bucket can't hold a result
-and is skipped; if it is high, a bound on the query's strongest coordinate leaves few vectors;
-else the prefix of vectors long enough is kept.  What is left is verified by whole products.
+All vectors are numbered by length, longest first, and cut into groups of buckets.  Groups are
+searched in waves, the longest group first, then four times as many each time.  A wave knows each
+query's k-th best score so far, and a query goes to a group only if the product of both lengths can
+reach it; groups that can't hold a result are left out before anything is shuffled.  Within a group
+the threshold becomes a local cosine threshold for each bucket.  Above 1 the bucket is skipped; if
+it is high, a bound on the query's strongest coordinate leaves few vectors; else the prefix of
+vectors long enough is kept.  What is left is verified by whole products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rank import number_rows
 from .common import map_arrow, record_batch, staged
 
-#: Vectors in a bucket, buckets in a group, queries in a block: what a task holds, whatever the table.
-BUCKET, GROUP, QUERIES = 2048, 16384, 512
+#: Vectors in a bucket and in a group, bytes of a group, queries in a block: what a task holds.
+BUCKET, GROUP, GROUP_BYTES, QUERIES = 2048, 16384, 32 << 20, 512
+#: Queries that meet a group in one task; more go to further tasks.
+ASKED = 65536
+#: The driver holds a length for each group and dimension; groups grow when there would be more of them.
+GROUPS = 1 << 20
 #: From this local cosine threshold on, pruning by coordinate pays.
 COSINE = 0.85
 #: Integers up to here are exact in a double.
 EXACT = 2.0**52
-_PACKED = pa.schema([("part", pa.int64()), ("dim", pa.int32()), ("top", pa.float64()), ("ids", pa.binary()), ("data", pa.binary())])
+_PACKED = pa.schema([("g", pa.int64()), ("dim", pa.int32()), ("top", pa.float64()), ("ids", pa.binary()), ("data", pa.binary())])
 
 
 def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +40,7 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for key, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if key is None or not v or None in v:
+            if key is None or v is None or None in v:
                 continue
             x = np.floor(64.0 * np.array(v, np.float64))
             if np.isfinite(x).all():
@@ -42,7 +50,7 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(size: int):
-    """Rows (part, vec_id, dim, norm, data), sorted by part and dimension, as blocks of one part and dimension."""
+    """Rows (g, vec_id, dim, norm, data), sorted by group, dimension and length, as buckets of one group and dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -131,30 +139,58 @@ def _offer(best: Best, which, q, qid, v, vid, qn, vn) -> None:
     best.add(which[i], s[i, j].astype(np.int64), vid[j])
 
 
+def _asked(tops: dict[int, tuple[int, np.ndarray]], lo: int, hi: int):
+    """Rows (uid, vec_id, dim, norm, data, least) once for each group of the wave, the lo-th to the hi-th of its dimension, that can reach least."""
+    schema = pa.schema([("uid", pa.int64()), ("vec_id", pa.int64()), ("dim", pa.int32()), ("least", pa.int64()), ("data", pa.binary()), ("g", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uid, key, dim, norm, data, least in zip(*(c.to_pylist() for c in batch.columns)):
+                first, lengths = tops.get(dim, (0, np.zeros(0)))
+                lengths = lengths[lo:hi]
+                if least is not None:
+                    lengths = lengths[norm * lengths * (1 + 1e-9) + 1e-6 >= least]  # a prefix, as lengths fall
+                rows += [(uid, key, dim, least, data, first + lo + j) for j in range(len(lengths))]
+            for i in range(0, len(rows), 4096):
+                yield record_batch(schema, *zip(*rows[i : i + 4096]))
+
+    return run
+
+
 def _searched(k: int):
-    schema = pa.schema([("qb", pa.int64()), ("qn", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked = None, []
+        at, buckets, asked = None, [], []
 
         def out():
-            for no, (best, _, _, ids) in enumerate(asked):
-                if len(best.q):
-                    name = (at[0] << 40) + (at[2] << 20) + no
-                    yield record_batch(schema, np.full(len(best.q), name), best.q.astype(np.int32), ids[best.q], best.id, best.score)
+            uid, key, least = (np.array(x) for x in zip(*((r[0], r[1], -np.inf if r[2] is None else r[2] - abs(r[2]) * 2.0**-50) for r in asked)))
+            q = np.frombuffer(b"".join(r[3] for r in asked), np.float64).reshape(len(asked), -1)
+            best = Best(len(asked), k)
+            best.least = least.astype(np.float64)
+            qn = np.sqrt(np.einsum("ij,ij->i", q, q))
+            for keys, m in buckets:
+                search_bucket(best, qn, q, key, m, keys)
+            if len(best.q):
+                yield record_batch(schema, uid[best.q], key[best.q], best.id, best.score)
 
         for batch in batches:
-            for qb, g, dim, is_query, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, m = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
-                if (qb, g, dim) != at:
+            for g, part, dim, query, uid, key, least, data, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, part, dim) != at:
+                    if asked:
+                        yield from out()
+                    at, buckets, asked = (g, part, dim), [], []
+                if not query:
+                    keys = np.frombuffer(ids, np.int64)
+                    buckets.append((keys, np.frombuffer(data, np.float64).reshape(len(keys), dim)))
+                    continue
+                asked.append((uid, key, least, data))
+                if len(asked) == QUERIES:
                     yield from out()
-                    at, asked = (qb, g, dim), []
-                if is_query:
-                    asked.append((Best(len(m), k), np.sqrt(np.einsum("ij,ij->i", m, m)), m, keys))
-                else:
-                    for best, qn, q, qid in asked:
-                        search_bucket(best, qn, q, qid, m, keys)
-        yield from out()
+                    asked = []
+        if asked:
+            yield from out()
 
     return run
 
@@ -162,33 +198,47 @@ def _searched(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer products, ties to the smaller id.
 
-    Components become floor(64 x).  Vectors that are null, empty or hold null or non-finite
-    components, and rows without an id, take no part; a query meets vectors of its own dimension,
-    and not rows with its own id; repeated rows all take part; empty tables give an empty result;
-    other columns are ignored.  Query blocks meet bucket groups in blocks: a task streams one
-    group's buckets past one query block, and hands on k rows a query.
+    Components become floor(64 x).  Vectors that are null or hold null or non-finite components,
+    and rows without an id, take no part; a query meets vectors of its own dimension (empty ones
+    have products of 0), and not rows with its own id; repeated rows all take part, and a repeated
+    query row has a result of its own; empty tables give an empty result; other columns are
+    ignored.  Products beyond a long are held to its limits and then tie.
     """
     pick = lambda df: map_arrow(df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")), _quantised, "vec_id long, dim int, norm double, data binary")
-    packed = "part long, dim int, top double, ids binary, data binary"
-    all_v, all_q = staged(pick(vectors)), staged(pick(queries))
-    n, nq = all_v.count(), all_q.count()
-    groups, blocks = max(1, -(-n // GROUP)), max(1, -(-nq // QUERIES))
-    dealt = lambda df, parts: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), "vec_id", "dim", "norm", "data").repartition(parts, "part").sortWithinPartitions("part", "dim", F.desc("norm"), "vec_id")
-    upto = lambda most: F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))
-    buckets = map_arrow(dealt(all_v, groups), _packed(BUCKET), packed)
-    asked = map_arrow(dealt(all_q, blocks), _packed(QUERIES), packed)
-    left = asked.select(F.col("part").alias("qb"), F.explode(upto(groups)).alias("g"), "dim", F.lit(True).alias("is_query"), F.lit(0.0).alias("top"), "ids", "data")
-    right = buckets.select(F.explode(upto(blocks)).alias("qb"), F.col("part").alias("g"), "dim", F.lit(False).alias("is_query"), "top", "ids", "data")
-    cells = left.unionByName(right).repartition(min(4096, groups * blocks), "qb", "g").sortWithinPartitions("qb", "g", "dim", F.desc("is_query"), F.desc("top"), "ids")
-    found = map_arrow(cells.select("qb", "g", "dim", "is_query", "ids", "data"), _searched(k), "qb long, qn int, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "qb", "qn").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    all_v = staged(pick(vectors).withColumn("shorter", -F.col("norm")))
+    all_q = staged(pick(queries).withColumn("uid", F.monotonically_increasing_id()))
+    n, wide = all_v.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
+    parts = max(1, -(-all_q.count() // ASKED))
+    size = max(1, min(GROUP, GROUP_BYTES // (8 * max(1, wide))), -(-n // GROUPS))
+    ranked = number_rows(all_v, ["dim", "shorter", "vec_id"], "rn").withColumn("g", F.floor((F.col("rn") - 1) / size).cast("long"))
+    packed = ranked.repartition(max(1, -(-n // size)), "g").sortWithinPartitions("g", "dim", "rn").select("g", "vec_id", "dim", "norm", "data")
+    buckets = staged(map_arrow(packed, _packed(BUCKET), "g long, dim int, top double, ids binary, data binary"))
+    tops: dict[int, tuple[int, list]] = {}
+    for g, dim, top in buckets.groupBy("g", "dim").agg(F.max("top").alias("top")).orderBy("dim", "g").toLocalIterator():
+        tops.setdefault(dim, (g, []))[1].append(top)
+    tops = {dim: (g, np.array(x)) for dim, (g, x) in tops.items()}
+    longest = max((len(x) for _, x in tops.values()), default=0)
+    best = vectors.sparkSession.createDataFrame([], "uid long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+    lo, width = 0, 1
+    while lo < longest:
+        least = best.groupBy("uid").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        asked = map_arrow(all_q.join(least, "uid", "left").select("uid", "vec_id", "dim", "norm", "data", "least"), _asked(tops, lo, lo + width), "uid long, vec_id long, dim int, least long, data binary, g long")
+        wave = [F.col("dim").eqNullSafe(dim) & F.col("g").between(g + lo, g + lo + width - 1) for dim, (g, x) in tops.items() if len(x) > lo]
+        here = reduce(lambda a, b: a | b, wave)
+        left = buckets.where(here).select("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dim", F.lit(0).alias("query"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("least"), "data", "ids", "top")
+        right = asked.select("g", F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int").alias("part"), "dim", F.lit(1).alias("query"), "uid", "vec_id", "least", "data", F.lit(None).cast("binary").alias("ids"), F.lit(0.0).alias("top"))
+        cells = left.unionByName(right).repartition(min(4096, width * len(wave) * parts), "g", "part").sortWithinPartitions("g", "part", "dim", "query", F.desc("top"), "uid")
+        found = map_arrow(cells.drop("top"), _searched(k), "uid long, query_id long, vec_id long, score long")
+        best = staged(best.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+        lo, width = lo + width, 4 * width
+    return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
 
 
 def oracle_sql(k: int = 20) -> str:
     return f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) e from embeddings
-           where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::bigint score
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, v.vec_id, coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])), 0)::bigint score
       from v q join v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id and len(q.e) = len(v.e))
 select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= {k}"""

@@ -207,13 +207,17 @@ def test_repeats_query(spark, sf):
     assert rows_of(queries.op10_suffix_dedup(spark, sf)) == sorted(suffix_dedup.brute_force(docs), key=lambda r: tuple(map(str, r)))
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("group,asked", [(16384, 65536), (16, 3)])
+def test_top_k(spark, monkeypatch, group, asked):
+    monkeypatch.setattr(topk_search, "GROUP", group)
+    monkeypatch.setattr(topk_search, "ASKED", asked)
+    monkeypatch.setattr(topk_search, "BUCKET", min(2048, group // 2))
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4 if i % 9 else 3) * (10 if i % 5 else 0.1)]) for i in range(120)]
-    rows += [(200, None), (201, []), (202, [1.0, None, 1.0, 1.0]), (203, [float("nan")] * 4), (204, [float("inf")] * 4), (None, [1.0] * 4), (240, [0.0] * 4), (5, rows[5][1])]
+    rows += [(200, None), (201, []), (202, [1.0, None, 1.0, 1.0]), (203, [float("nan")] * 4), (204, [float("inf")] * 4), (None, [1.0] * 4), (240, [0.0] * 4), (5, rows[5][1]), (220, []), (20, [9.0] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = sorted(tuple(r) for r in topk_search.top_k(df, df.where("vec_id % 20 = 0"), 5).collect())
-    ok = [(k, np.floor(64 * np.array(v))) for k, v in rows if k is not None and v and None not in v and np.isfinite(v).all()]
+    ok = [(k, np.floor(64 * np.array(v))) for k, v in rows if k is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = []
     for k, q in ok:
         if k % 20 == 0:
