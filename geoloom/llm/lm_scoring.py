@@ -1,12 +1,13 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
 The vocabulary of training tokens is counted over the whole corpus and may be of any size.  Its
-most frequent words are classes of the model; all others share classes by their ending, and within
-such a class have their smoothed relative frequency, so the model is normalised over every token.
-A class is predicted from the two classes before it: bilinear scores of their vectors.  A pilot
-model is trained on a bounded sample; from it every task trains on its own share of all training
-texts, and parameters are averaged by tokens.  Scoring normalises each distinct context of a block
-once, by batched matrix products.
+most frequent words, whose number grows with the square root of the vocabulary, are classes of the
+model with vectors of their own; all others share classes by their ending, and within such a class
+have their smoothed relative frequency, so the model is normalised over every token.  A class is
+predicted from the two classes before it: bilinear scores of their vectors.  A pilot model is
+trained on a bounded sample.  From it a model is trained on each shard of the training texts, which
+are dealt by hash, so it doesn't matter how the table is partitioned; parameters are averaged by
+tokens.  Scoring normalises each distinct context of a block once, by batched matrix products.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, record_batch, staged, text_blocks
 
-#: Words with a class of their own, classes of other words by ending, size of the vectors.
-WORDS, ENDINGS, WIDTH = 447, 64, 32
+#: Words with a class of their own for each unit of the vocabulary's square root, classes of other
+#: words by ending, size of the vectors.
+WORDS_A_ROOT, ENDINGS, WIDTH = 2.0, 64, 32
 #: Frequent tokens whose counts every worker holds; the others' counts are joined.
 HEAD = 300_000
-#: Texts the pilot model is trained on, its passes; noise samples of a batch, its tokens, step size.
-PILOT_TEXTS, PILOT_PASSES, NOISE, BATCH, STEP = 1500, 3, 64, 2048, 0.15
+#: Texts the pilot model is trained on (lowest hashes of ids), their bytes at most, its passes.
+PILOT_TEXTS, PILOT_BYTES, PILOT_PASSES = 1500, 16 << 20, 3
+#: Noise samples of a batch, its tokens, step size; tokens of a shard of the training texts.
+NOISE, BATCH, STEP, SHARD_TOKENS = 64, 2048, 0.15, 3_000_000
 #: Tokens a counting task holds before it hands on partial counts.
 HELD = 400_000
 #: Averages of parameters are taken in groups of so many, level by level.
 FAN = 32
 END = b""
-CLASSES = WORDS + 1 + ENDINGS  # words, end, endings
-
 
 def tokens_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words of all texts, their ending classes, words before each text and at the end)."""
@@ -91,18 +94,17 @@ def training(docs: DataFrame) -> DataFrame:
 class LogBilinear:
     """p(class | two classes before) from bilinear scores; all parameters in one float32 vector."""
 
-    SIZE = CLASSES * (3 * WIDTH + 1)
-
     def __init__(self, flat: np.ndarray, unigram: np.ndarray):
-        self.flat, self.unigram = flat, unigram
-        n = CLASSES * WIDTH
-        self.r1, self.r2, self.q = (flat[k * n : (k + 1) * n].reshape(CLASSES, WIDTH) for k in range(3))
+        self.flat, self.unigram, self.classes = flat, unigram, len(unigram)
+        n = self.classes * WIDTH
+        self.r1, self.r2, self.q = (flat[k * n : (k + 1) * n].reshape(self.classes, WIDTH) for k in range(3))
         self.b = flat[3 * n :]
 
     @classmethod
     def start(cls, unigram: np.ndarray) -> LogBilinear:
-        flat = (0.1 * np.random.default_rng(5).standard_normal(cls.SIZE)).astype(np.float32)
-        flat[-CLASSES:] = np.log(unigram)
+        size = len(unigram)
+        flat = (0.1 * np.random.default_rng(5).standard_normal(size * (3 * WIDTH + 1))).astype(np.float32)
+        flat[-size:] = np.log(unigram)
         return cls(flat, unigram)
 
     def train(self, seq: np.ndarray, tokens: np.ndarray, rng: np.random.Generator, state: np.ndarray) -> None:
@@ -113,7 +115,7 @@ class LogBilinear:
         for i in range(0, len(order), BATCH):
             at = order[i : i + BATCH]
             t, c1, c2 = seq[at], seq[at - 1], seq[at - 2]
-            noise = rng.choice(CLASSES, NOISE, p=self.unigram)
+            noise = rng.choice(self.classes, NOISE, p=self.unigram)
             h = self.r1[c1] + self.r2[c2]
             qt, qn = self.q[t], self.q[noise]
             real = np.einsum("ij,ij->i", h, qt) + self.b[t] - noise_log[t]
@@ -138,9 +140,9 @@ class LogBilinear:
 
     def logs(self, seq: np.ndarray) -> np.ndarray:
         """Natural log-probability of each class from the third on, given the two before it."""
-        code = seq[1:-1].astype(np.int64) * CLASSES + seq[:-2]
+        code = seq[1:-1].astype(np.int64) * self.classes + seq[:-2]
         contexts, which = np.unique(code, return_inverse=True)
-        h = self.r1[contexts // CLASSES] + self.r2[contexts % CLASSES]
+        h = self.r1[contexts // self.classes] + self.r2[contexts % self.classes]
         norm = np.empty(len(contexts), np.float32)
         for i in range(0, len(contexts), 4096):
             s = h[i : i + 4096] @ self.q.T + self.b
@@ -161,17 +163,18 @@ class Vocabulary:
         self.counts = np.array([c for _, c in head], np.int64)
         self.total, self.distinct, self.mass = total, distinct, mass
         self.unigram = (class_counts + 0.5) / (class_counts + 0.5).sum()
+        self.n_words = len(class_counts) - 1 - ENDINGS  # classes: words, end, endings
 
     def ready(self) -> Vocabulary:
         """Look-ups, made in each worker: a token's place in the head, its class, its logarithms."""
         if not hasattr(self, "index"):
             self.index = {w: k for k, w in enumerate(self.words)}
-            self.classes = np.array([self.class_of(w, k) for k, w in enumerate(self.words)], np.int16).reshape(-1)
+            self.classes = np.array([self.class_of(w, k) for k, w in enumerate(self.words)], np.int32).reshape(-1)
             self.logs = np.log10(self.counts + 0.5)
         return self
 
     def class_of(self, word: bytes, place: int) -> int:
-        return WORDS if word == END else place if place < WORDS else WORDS + 1 + ending(word)
+        return self.n_words if word == END else place if place < self.n_words else self.n_words + 1 + ending(word)
 
     def sequence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """(classes with two ends before each text, tokens' positions in them, places in the head or -1, text of each token, words, tokens' word or -1).
@@ -186,14 +189,14 @@ class Vocabulary:
         total = len(words) + len(texts)
         is_end = np.zeros(total, bool)
         is_end[ends] = True
-        places, classes, origin = np.full(total, self.index.get(END, -1)), np.full(total, WORDS, np.int16), np.full(total, -1)
+        places, classes, origin = np.full(total, self.index.get(END, -1)), np.full(total, self.n_words, np.int32), np.full(total, -1)
         places[~is_end] = place
-        own = np.where(place >= 0, self.classes[place] if len(self.classes) else 0, WORDS + 1 + endings)
+        own = np.where(place >= 0, self.classes[place] if len(self.classes) else 0, self.n_words + 1 + endings)
         classes[~is_end] = own
         origin[~is_end] = np.arange(len(words))
         owner = np.repeat(np.arange(len(texts)), n + 1)
         tokens = np.arange(total) + owner + 2
-        seq = np.full(total + len(texts) + 1, WORDS, np.int16)
+        seq = np.full(total + len(texts) + 1, self.n_words, np.int32)
         seq[tokens] = classes
         return seq, tokens, places, owner, words, origin
 
@@ -212,9 +215,10 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     else:
         top = counts.where(F.col("c") >= least)
     head = sorted(((bytes(t), c) for t, c in top.select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
-    words = [x for x in head if x[0] != END][:WORDS]
+    n_words = int(WORDS_A_ROOT * n_distinct**0.5)
+    words = [x for x in head if x[0] != END][:n_words]
     ends = [x for x in head if x[0] == END]
-    head = words + [x for x in head if x[0] != END][WORDS:] + ends
+    head = words + [x for x in head if x[0] != END][n_words:] + ends
     n_end = ends[0][1] if ends else counts.where(F.col("token") == F.lit(b"")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     mass, used = np.full(ENDINGS, 0.5), np.zeros(ENDINGS)
     for e, m, c in counts.where("ending >= 0").groupBy("ending").agg(F.sum(F.col("c") + 0.5), F.sum("c")).collect():
@@ -223,68 +227,92 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     for w, c in words:
         mass[ending(w)] -= c + 0.5
         used[ending(w)] -= c
-    class_counts = np.zeros(CLASSES)
-    class_counts[: len(words)] = [c for _, c in words]
-    class_counts[WORDS], class_counts[WORDS + 1 :] = n_end, used
+    class_counts = np.concatenate([[c for _, c in words], [n_end], used]).astype(np.float64)
     return Vocabulary(head, total, n_distinct, mass, class_counts)
 
 
-def _trained(texts: DataFrame, vocabulary: Vocabulary, start: np.ndarray, passes: int) -> DataFrame:
-    """(parameters, tokens) of each task that trains on its share from the same start."""
+_MODELS = "shard long, flat binary, seen long"
+
+
+def _trained(texts: DataFrame, vocabulary: Vocabulary, start: np.ndarray, passes: int, most: int | None = None) -> DataFrame:
+    """A model for each shard, from rows (shard, text) in order, all from the same start; of each shard at most so many bytes."""
+    schema = pa.schema([("shard", pa.int64()), ("flat", pa.binary()), ("seen", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.ready()
-        model, state, seen, rng = LogBilinear(start.copy(), v.unigram), np.zeros_like(start), 0, np.random.default_rng(17)
-        kept = []
-        for _, block in text_blocks(batches, 4 << 20):
-            seq, tokens = v.sequence([t or b"" for t in block])[:2]
-            model.train(seq, tokens, rng, state)
-            seen += len(tokens)
-            if passes > 1:
-                kept.append((seq, tokens))
-        for _ in range(passes - 1):
-            for seq, tokens in kept:
+
+        def shards() -> Iterator[tuple[int, Iterator[bytes]]]:
+            rows = ((s, t or b"") for batch in batches for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for shard, own in groupby(rows, key=lambda r: r[0]):
+                yield shard, (t for _, t in own)
+
+        for shard, own in shards():
+            model, state, seen, rng = LogBilinear(start.copy(), v.unigram), np.zeros_like(start), 0, np.random.default_rng([17, shard])
+            kept, size = [], 0
+            for block in blocks_of(own, 4 << 20):
+                size += sum(map(len, block))
+                if most is not None and size > most:
+                    break
+                seq, tokens = v.sequence(block)[:2]
                 model.train(seq, tokens, rng, state)
-        if seen:
-            yield record_batch(pa.schema([("flat", pa.binary()), ("seen", pa.int64())]), [model.flat.tobytes()], [seen])
+                seen += len(tokens)
+                if passes > 1:
+                    kept.append((seq, tokens))
+            for _ in range(passes - 1):
+                for seq, tokens in kept:
+                    model.train(seq, tokens, rng, state)
+            if seen:
+                yield record_batch(schema, [shard], [model.flat.tobytes()], [seen])
 
-    return map_arrow(texts, run, "flat binary, seen long")
+    return map_arrow(texts.select("shard", "text"), run, _MODELS)
+
+
+def blocks_of(texts: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 def _averaged(models: DataFrame) -> np.ndarray | None:
-    """Mean by tokens, level by level, so no task and not the driver meets more than FAN of them."""
+    """Mean by tokens, level by level in the order of shards, so no task and not the driver meets more than FAN of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = None, 0
-        for batch in batches:
-            for flat, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(flat, np.float32).astype(np.float64) * n
-                total, seen = x if total is None else total + x, seen + n
-        if seen:
-            yield record_batch(pa.schema([("flat", pa.binary()), ("seen", pa.int64())]), [(total / seen).astype(np.float32).tobytes()], [seen])
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for up, own in groupby(rows, key=lambda r: r[0]):
+            total, seen = 0.0, 0
+            for _, _, flat, n in own:
+                total, seen = total + np.frombuffer(flat, np.float32).astype(np.float64) * n, seen + n
+            yield record_batch(pa.schema([("shard", pa.int64()), ("flat", pa.binary()), ("seen", pa.int64())]), [up], [(total / seen).astype(np.float32).tobytes()], [seen])
 
     models = staged(models)
     n = models.count()
     while n > 1:
-        parts = -(-n // FAN)
-        models = staged(map_arrow(models.repartition(parts), run, "flat binary, seen long"))
+        grouped = models.select(F.floor(F.col("shard") / FAN).cast("long").alias("up"), "shard", "flat", "seen")
+        models = staged(map_arrow(grouped.repartition(-(-n // FAN), "up").sortWithinPartitions("up", "shard"), run, _MODELS))
         n = models.count()
     row = models.first()
-    return None if row is None else np.frombuffer(bytes(row[0]), np.float32).copy()
+    return None if row is None else np.frombuffer(bytes(row.flat), np.float32).copy()
 
 
 def fit(docs: DataFrame) -> tuple[Vocabulary, np.ndarray, DataFrame]:
     """(vocabulary, model parameters, table of all counts) from all training texts."""
     counts = staged(count_training(docs))
     v = _vocabulary(counts)
-    texts = training(docs)
-    n_texts = max(1.0, float(v.unigram[WORDS] * v.total))
     flat = LogBilinear.start(v.unigram).flat
-    share = min(1.0, PILOT_TEXTS / n_texts)
-    pilot = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).coalesce(1)
-    row = _trained(pilot, v, flat, PILOT_PASSES).first()
-    flat = flat if row is None else np.frombuffer(bytes(row[0]), np.float32).copy()
-    mean = _averaged(_trained(texts, v, flat, 1))
+    texts = training(docs).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    chosen = texts.select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(PILOT_TEXTS).select("doc_id")
+    pilot = texts.join(F.broadcast(chosen), "doc_id").select(F.lit(0).cast("long").alias("shard"), "text", "h", "doc_id")
+    row = _trained(pilot.repartition(1).sortWithinPartitions("h", "doc_id", F.xxhash64("text")), v, flat, PILOT_PASSES, PILOT_BYTES).first()
+    flat = flat if row is None else np.frombuffer(bytes(row.flat), np.float32).copy()
+    shards = max(1, -(-int(v.total) // SHARD_TOKENS))
+    dealt = texts.withColumn("t", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("t", F.lit(shards).cast("long")))
+    mean = _averaged(_trained(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "t", "doc_id"), v, flat, 1))
     return v, flat if mean is None else mean, counts
 
 
@@ -309,8 +337,8 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, count
                 seq, tokens, places, owner, words, origin = v.sequence([t or b"" for t in texts])
                 logs = model.logs(seq)[tokens - 2] / np.log(10.0)
                 cls = seq[tokens]
-                rare = cls > WORDS
-                logs[rare] -= log_mass[cls[rare] - WORDS - 1]
+                rare = cls > v.n_words
+                logs[rare] -= log_mass[cls[rare] - v.n_words - 1]
                 held = places >= 0
                 own = np.where(held, v.logs[places] if len(v.logs) else 0.0, 0.0)
                 add = lambda x: np.bincount(owner, x, len(texts))
@@ -365,3 +393,21 @@ def brute_force_base(docs: list[tuple]) -> list[tuple]:
     c: Counter = Counter(w for k, ws in words if zlib.crc32(str(k).encode()) % 5 != 1 for w in ws)
     n, v = sum(c.values()), len(c)
     return [(k, len(ws), sum(c[w] > 0 for w in ws), n, sum(float(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1)))) for w in ws)) for k, ws in words]
+
+
+def brute_force_score(texts: list[str | None], vocabulary: Vocabulary, flat: np.ndarray, counts: dict[bytes, int]) -> list[float]:
+    """log10 probability of each text token by token, with a whole softmax each time, for tests."""
+    model, n = LogBilinear(flat.astype(np.float64), vocabulary.unigram), vocabulary.n_words
+    own = {w: k for k, w in enumerate(vocabulary.words[:n])}
+    out = []
+    for t in texts:
+        before, total = (n, n), 0.0
+        for w in [*(t or "").encode().lower().split(), END]:
+            c = n if w == END else own.get(w, n + 1 + ending(w) if w else n)
+            s = (model.r1[before[1]] + model.r2[before[0]]) @ model.q.T + model.b
+            total += (s[c] - s.max() - np.log(np.exp(s - s.max()).sum())) / np.log(10)
+            if c > n:
+                total += np.log10(counts.get(w, 0) + 0.5) - np.log10(vocabulary.mass[c - n - 1])
+            before = (before[1], c)
+        out.append(total)
+    return out

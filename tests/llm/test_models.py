@@ -15,6 +15,7 @@ def test_language_model(spark, sf, monkeypatch):
     docs = load(spark, sf, "documents")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()] + [(100001, None), (100002, ""), (5, rows_text(docs, 5))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 20_000)  # several shards
     monkeypatch.setattr(lm_scoring, "HEAD", 500)  # so that most words' counts come by the join
     v, flat, counts = lm_scoring.fit(df)
     got = lm_scoring.score_texts(df, v, flat, counts).collect()
@@ -25,9 +26,16 @@ def test_language_model(spark, sf, monkeypatch):
     held = [g for g in got if g.held_out]
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
     model = lm_scoring.LogBilinear(flat, v.unigram)
-    for a, b in ((3, 5), (lm_scoring.WORDS, lm_scoring.WORDS)):
-        p = [np.exp(model.logs(np.array([a, b, t], np.int16))[0]) for t in range(lm_scoring.CLASSES)]
+    for a, b in ((3, 5), (v.n_words, v.n_words)):
+        p = [np.exp(model.logs(np.array([a, b, t], np.int32))[0]) for t in range(model.classes)]
         assert sum(p) == pytest.approx(1, abs=1e-5)
+    some = [r for r in rows if r[0] % 7 == 0 and len(r[1] or "") < 3000] + rows[-3:-1]
+    known = {bytes(t): c for t, c in counts.select("token", "c").collect()}
+    own = {g.doc_id: g.score for g in got}
+    for r, x in zip(some, lm_scoring.brute_force_score([t for _, t in some], v, flat, known)):
+        assert own[r[0]] == pytest.approx(x, rel=1e-4, abs=1e-3)
+    other = lm_scoring.fit(df.repartition(7))[1]
+    assert np.array_equal(flat, other)  # partitions don't matter
     assert lm_scoring.score_corpus(df.limit(0)).collect() == []
     nothing = lm_scoring.score_corpus(df.where("doc_id is null").unionByName(spark.createDataFrame([(None, "a b", "x")], df.schema))).first()
     assert (nothing.n_tokens, nothing.n_known, nothing.train_tokens, nothing.held_out) == (3, 0, 0, True)
@@ -137,7 +145,7 @@ def test_pipeline_stages(spark, sf):
 def test_a_texts_score_does_not_depend_on_the_text_before_it():
     texts = [b"red fish", b"", b"blue", b"red fish", b"blue fish odd", b"", b""]
     head = [(lm_scoring.END, 7), (b"fish", 3), (b"red", 2), (b"blue", 2)]
-    v = lm_scoring.Vocabulary(head, 14, 4, np.ones(lm_scoring.ENDINGS), np.ones(lm_scoring.CLASSES)).ready()
+    v = lm_scoring.Vocabulary(head, 14, 4, np.ones(lm_scoring.ENDINGS), np.ones(3 + 1 + lm_scoring.ENDINGS)).ready()
     model = lm_scoring.LogBilinear.start(v.unigram)
 
     def scores(block):
