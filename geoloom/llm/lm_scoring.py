@@ -1,7 +1,7 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
 The vocabulary of training tokens is counted over the whole corpus and may be of any size.  Its
-most frequent words, whose number grows with the square root of the vocabulary, are classes of the
+most frequent words, whose number grows with the fourth root of the vocabulary, are classes of the
 model with vectors of their own; all others share classes by their ending, and within such a class
 have their smoothed relative frequency, so the model is normalised over every token.  A class is
 predicted from the two classes before it: bilinear scores of their vectors.  A pilot model is
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, record_batch, staged, text_blocks
 
-#: Words with a class of their own for each unit of the vocabulary's square root, classes of other
+#: Words with a class of their own for each unit of the vocabulary's fourth root, classes of other
 #: words by ending, size of the vectors.
-WORDS_A_ROOT, ENDINGS, WIDTH = 2.0, 64, 32
+WORDS_A_ROOT, ENDINGS, WIDTH = 10, 64, 32
 #: Frequent tokens whose counts every worker holds; the others' counts are joined.
 HEAD = 300_000
 #: Texts the pilot model is trained on (lowest hashes of ids), their bytes at most, its passes.
@@ -145,9 +145,11 @@ class LogBilinear:
         h = self.r1[contexts // self.classes] + self.r2[contexts % self.classes]
         norm = np.empty(len(contexts), np.float32)
         for i in range(0, len(contexts), 4096):
-            s = h[i : i + 4096] @ self.q.T + self.b
+            s = h[i : i + 4096] @ self.q.T
+            s += self.b
             top = s.max(axis=1)
-            norm[i : i + 4096] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+            s -= top[:, None]
+            norm[i : i + 4096] = top + np.log(np.exp(s, out=s).sum(axis=1))
         out = np.empty(len(code))
         for i in range(0, len(code), 65536):
             w, t = which[i : i + 65536], seq[2 + i : 2 + i + 65536]
@@ -215,7 +217,7 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     else:
         top = counts.where(F.col("c") >= least)
     head = sorted(((bytes(t), c) for t, c in top.select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
-    n_words = int(WORDS_A_ROOT * n_distinct**0.5)
+    n_words = int(WORDS_A_ROOT * n_distinct**0.25)
     words = [x for x in head if x[0] != END][:n_words]
     ends = [x for x in head if x[0] == END]
     head = words + [x for x in head if x[0] != END][n_words:] + ends
