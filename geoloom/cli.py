@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from . import catalog
 from .functions import taxonomy as tx
 from .plans import audit, triage, verbs
-from .plans.index import index
+from .plans.index import Index, index
 from .session import local_session
 from .sources import notes
+from .sources.store import IndexStore
 
 
 def tsv(df: DataFrame, limit: int = 40) -> str:
@@ -40,6 +41,10 @@ def html(title: str, parts: dict[str, str]) -> str:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="geoloom", description=__doc__)
     p.add_argument("--sf-dir", default="/root/testdata/sf0.001")
+    p.add_argument("--input", help="a label raster, or a directory of tiles, instead of the derived grid")
+    p.add_argument("--gsd", type=float, default=0.5, help="metres a cell of --input")
+    p.add_argument("--mapping", help="JSON of wire id to class name for --input")
+    p.add_argument("--cache", help="a folder that keeps index tables across sessions")
     p.add_argument("--limit", type=int, default=40)
     sub = p.add_subparsers(dest="verb", required=True)
     for name in ("legend", "queries", "audit", "notes-template", "tools"):
@@ -62,8 +67,11 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(verbs.tool_definitions(), indent=1))
     else:
         spark = local_session()
-        i = index(spark, a.sf_dir)
         try:
+            kept = IndexStore(spark, a.cache) if a.cache else None
+            i = Index.from_raster(spark, a.input, a.gsd, a.mapping, kept) if a.input else index(spark, a.sf_dir)
+            if a.input and a.verb in ("run", "report"):
+                raise ValueError(f"{a.verb} works on the tables of --sf-dir; a raster takes ask, triage, tool and audit")
             if a.verb == "run":
                 print(tsv(catalog.QUERIES[a.query](spark, a.sf_dir), a.limit))
             elif a.verb == "ask":

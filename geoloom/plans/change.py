@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as tx
 from ..operators.components import grid_components
 from ..operators.graph import staged
-from ..sources.cells import PIXEL_M2, STRIDE
 from .index import TILE
 
 # Smallest event; shift, credit, look and structural thresholds of tile verdicts.
@@ -35,7 +34,7 @@ class Change:
         return px.join(self.i.pairs.select("a", "b", "category"), ["a", "b"])
 
     def events(self) -> DataFrame:
-        return self.pairs().withColumn("area_m2", F.col("px") * PIXEL_M2).where(F.col("area_m2") >= MIN_EVENT_M2)
+        return self.pairs().withColumn("area_m2", F.col("px") * self.i.pixel_m2).where(F.col("area_m2") >= MIN_EVENT_M2)
 
     def summary(self) -> DataFrame:
         """Changed share counts every changed cell; coverage is what one date alone has seen."""
@@ -46,7 +45,7 @@ class Change:
     def components(self) -> DataFrame:
         """(a, b, components): 8-connected pieces of each transition, labelled all at once by its key."""
         keyed = self.joined.where("a is not null and b is not null and a <> b").withColumn("key", F.col("a") * 47 + F.col("b"))
-        return staged(grid_components(keyed, "key", STRIDE)).groupBy(F.floor(F.col("key") / 47).cast("int").alias("a"), (F.col("key") % 47).cast("int").alias("b")).agg(F.count_distinct("root").alias("components"))
+        return staged(grid_components(keyed, "key", self.i.stride)).groupBy(F.floor(F.col("key") / 47).cast("int").alias("a"), (F.col("key") % 47).cast("int").alias("b")).agg(F.count_distinct("root").alias("components"))
 
 
 def tile_classes(cells: DataFrame, value: str, valid: str) -> DataFrame:

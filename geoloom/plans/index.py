@@ -6,6 +6,7 @@ query of the session on the same source and parameters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,18 +18,50 @@ from ..operators.components import grid_components
 from ..operators.graph import staged
 from ..operators.rank import number_rows
 from ..sources import cells as src
+from ..sources import rasters
+from ..sources.store import IndexStore, fingerprint_of
 
 #: Components of fewer cells are no region.  Cells a side of a chip and of a tile; quadtree depth.
 MIN_AREA_PX, CHIP, TILE = 12, 16, 40
 
 
 class Index:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    """Index tables of one map: of the grid derived from the tables in sf_dir, or of cells given.
+
+    Cells have r, c, class_id and valid; class_id2, valid2 and elev may be missing and are null then.
+    stride is the multiplier that makes (r, c) one number: more than the largest c.  With a store,
+    the dear tables are kept across sessions, under a fingerprint of the cells and the parameters.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, cells: DataFrame | None = None, gsd: float = src.GSD, stride: int = src.STRIDE, store: IndexStore | None = None):
+        self.spark, self.sf_dir, self.given, self.gsd, self.stride, self.store = spark, sf_dir, cells, gsd, stride, store
+        self.pixel_m2 = gsd * gsd
+        self.has_terrain = cells is None or "elev" in cells.columns
+
+    @classmethod
+    def from_raster(cls, spark: SparkSession, path: str, gsd: float, mapping=None, store: IndexStore | None = None) -> Index:
+        """Of a label raster, or of a directory of tiles, which are put together by their placement."""
+        tiles = rasters.files(spark, path).select("path").limit(2).count()
+        cells = rasters.mosaic(spark, path, mapping) if tiles > 1 else rasters.labels(spark, path, mapping).drop("path")
+        cells = staged(cells)
+        wide = cells.agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+        return cls(spark, cells=cells, gsd=gsd, stride=wide + 1, store=store)
+
+    def _kept(self, kind: str, build: Callable[[], DataFrame], **params) -> DataFrame:
+        if self.store is None:
+            return staged(build())
+        return self.store.get(kind, self.fingerprint, {"gsd": self.gsd, "stride": self.stride, **params}, build)
+
+    @cached_property
+    def fingerprint(self) -> str:
+        return fingerprint_of(self.cells)
 
     @cached_property
     def cells(self) -> DataFrame:
-        return staged(src.derived_cells(self.spark, self.sf_dir))
+        if self.given is None:
+            return staged(src.derived_cells(self.spark, self.sf_dir))
+        more = {"class_id2": "int", "valid2": "boolean", "elev": "double"}
+        return staged(self.given.select("r", "c", F.col("class_id").cast("int").alias("class_id"), "valid", *(F.col(n) if n in self.given.columns else F.lit(None).cast(t).alias(n) for n, t in more.items())))
 
     @cached_property
     def dim(self) -> DataFrame:
@@ -45,17 +78,17 @@ class Index:
     @cached_property
     def slope(self) -> DataFrame:
         """Cells with gx, gy and slope in degrees."""
-        return grid.gradient(self.cells, src.GSD).withColumn("slope", grid.slope_degrees())
+        return grid.gradient(self.cells, self.gsd).withColumn("slope", grid.slope_degrees())
 
     @cached_property
     def components(self) -> DataFrame:
         """(r, c, key, root) of all valid cells, keyed by class."""
-        return staged(grid_components(self.cells.withColumn("key", F.when(F.col("valid"), F.col("class_id"))), "key", src.STRIDE))
+        return self._kept("components", lambda: grid_components(self.cells.withColumn("key", F.when(F.col("valid"), F.col("class_id"))), "key", self.stride))
 
     @cached_property
     def region_ids(self) -> DataFrame:
         sizes = self.components.groupBy("root", F.col("key").cast("int").alias("class_id")).agg(F.count("*").alias("area_px")).where(F.col("area_px") >= MIN_AREA_PX)
-        return staged(number_rows(sizes, ["class_id", "root"], "region_id"))
+        return self._kept("region_ids", lambda: number_rows(sizes, ["class_id", "root"], "region_id"), least=MIN_AREA_PX)
 
     @cached_property
     def cell_region(self) -> DataFrame:
@@ -89,17 +122,17 @@ class Index:
             (1 - F.hypot(F.avg(F.cos(theta)), F.avg(F.sin(theta)))).alias("aspect_circvar"),
         )
         out = self.region_ids.join(self.perimeters, "root").join(zonal, "region_id")
-        p, high, wide = F.col("perim_px") * src.GSD, F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")
-        area = F.col("area_px") * src.PIXEL_M2
+        p, high, wide = F.col("perim_px") * self.gsd, F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")
+        area = F.col("area_px") * self.pixel_m2
         out = out.withColumn("area_m2", area).withColumn("perimeter_m", p).withColumn("compactness", F.when(p > 0, 4 * F.pi() * area / (p * p)).otherwise(0.0))
-        return staged(out.withColumn("elongation", F.greatest(high, wide) / F.greatest(F.lit(1), F.least(high, wide))))
+        return self._kept("regions", lambda: out.withColumn("elongation", F.greatest(high, wide) / F.greatest(F.lit(1), F.least(high, wide))), least=MIN_AREA_PX)
 
     @cached_property
     def edges(self) -> DataFrame:
         """(a, b, shared_px) of touching regions, a < b: pre-aggregated, never a neighbour list."""
         marked = self.cell_region.withColumn("valid", F.lit(True))
         pairs = grid.neighbour_pairs(marked, "region_id").where("a <> b")
-        return staged(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared_px")))
+        return self._kept("edges", lambda: pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared_px")), least=MIN_AREA_PX)
 
     @cached_property
     def neighbour_hist(self) -> DataFrame:
@@ -134,7 +167,7 @@ class Index:
         """(r, c, anchor, d2) for every anchor class: one seed a group, so one pass for all."""
         seeds = F.explode(F.array(*(F.lit(k) for k in tx.ids(tx.ANCHORS)))).alias("anchor")
         each = self.cells.select("r", "c", "class_id", "valid", seeds)
-        return staged(distance.nearest_d2(each.withColumn("seed", F.col("valid") & (F.col("class_id") == F.col("anchor"))), "seed", "anchor"))
+        return self._kept("anchor_d2", lambda: distance.nearest_d2(each.withColumn("seed", F.col("valid") & (F.col("class_id") == F.col("anchor"))), "seed", "anchor"))
 
     @cached_property
     def chip_anchor(self) -> DataFrame:
@@ -144,6 +177,8 @@ class Index:
 
     @cached_property
     def ways(self) -> DataFrame:
+        if self.sf_dir is None:
+            return self.spark.createDataFrame([], "way_id long, horiz boolean, pos long, half long")
         return staged(src.derived_ways(self.spark, self.sf_dir, self.cells))
 
     @cached_property
@@ -161,7 +196,7 @@ class Index:
     def blocks(self) -> DataFrame:
         """(r, c, root) of valid cells off the roads, by 8-connected piece."""
         free = self.valid.join(self.road_cells, ["r", "c"], "left_anti").withColumn("key", F.lit(1))
-        return staged(grid_components(free, "key", src.STRIDE).select("r", "c", "root"))
+        return staged(grid_components(free, "key", self.stride).select("r", "c", "root"))
 
 
 _INDEXES: dict[tuple[str, str], Index] = {}

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..operators import grid
-from ..sources.cells import GSD
 
 # Free slope, concealment of shadow, beside buildings and of relief, canopy clump and
 # exponent cap, roughness window; fabric window, density weight, saturation and built threshold.
@@ -23,7 +22,7 @@ def clip01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def odd_window_px(metres: float, gsd: float = GSD) -> int:
+def odd_window_px(metres: float, gsd: float) -> int:
     """The nearest odd number of cells, 3 at least."""
     k = int(metres / gsd)
     return max(3, k + 1 - k % 2)
@@ -46,7 +45,7 @@ def change_volatility(i) -> DataFrame:
 
 
 def built_fabric(i) -> DataFrame:
-    k = odd_window_px(FABRIC_M)
+    k = odd_window_px(FABRIC_M, i.gsd)
     ground = i.cells.join(i.dim.select("class_id", "fabric"), "class_id").withColumn("anthro", (F.col("fabric") >= ANTHROPOGENIC).cast("int"))
     score = (1 - DENSITY) * F.col("fabric") + DENSITY * clip01(F.col("near") / SATURATION)
     return grid.box_mean(ground, "anthro", k, "near").select("r", "c", "class_id", "valid", score.alias("score"))
@@ -57,7 +56,7 @@ def concealment(i, target: str = "person") -> DataFrame:
     if target not in tx.TARGETS:
         raise ValueError(f"unknown target {target!r}; there are {', '.join(sorted(tx.TARGETS))}")
     footprint, height = tx.TARGETS[target]
-    side = max(1, round(math.sqrt(footprint) / GSD))
+    side = max(1, round(math.sqrt(footprint) / i.gsd))
     window = max(ROUGHNESS_PX, side)
     window += 1 - window % 2
     ground = i.slope.join(i.dim.select("class_id", "canopy"), "class_id")

@@ -10,11 +10,11 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
-from ..sources.cells import GSD
+from ..operators.rank import number_rows
 
 # Excluded mass, entropy weights, control share, budget, habitat and proximity terms.
 EXCLUDE_DOMINANCE, CONTROL_FRACTION, BUDGET = 0.80, 0.03, 0.20
@@ -108,7 +108,7 @@ def units(i) -> DataFrame:
     """Chips with entropy and the distance in metres to each anchor class; null where it is absent."""
     d = i.chip_anchor.groupBy("chip_r", "chip_c").pivot("anchor", tx.ids(tx.ANCHORS)).agg(F.first("d2"))
     names = {k: n for k, n in zip(tx.ids(tx.ANCHORS), tx.ANCHORS)}
-    d = d.select("chip_r", "chip_c", *((F.sqrt(F.col(str(k))) * GSD).alias(f"dist_{n}") for k, n in names.items()))
+    d = d.select("chip_r", "chip_c", *((F.sqrt(F.col(str(k))) * i.gsd).alias(f"dist_{n}") for k, n in names.items()))
     return i.chips.join(d, ["chip_r", "chip_c"], "left")
 
 
@@ -143,13 +143,14 @@ def select(scored: DataFrame, key: list[str], budget: float = BUDGET) -> DataFra
     """scored with rank, selected and control: the budget counts all units, excluded ones included.
 
     k = max(1, round half even of n * budget); the control set is a hash order of what was rejected.
+    Both orders are numbered by range, so no task sees all units.
     """
     n = scored.agg(F.count("*").alias("n"), F.count_if("excluded").alias("n_ex")).select(F.greatest(F.lit(1), F.bround(F.col("n") * budget)).alias("k"), "n")
-    order = Window.orderBy("excluded", F.desc(F.round("score", 9)), *key)
-    ranked = scored.withColumn("rank", F.row_number().over(order)).join(F.broadcast(n))
-    ranked = ranked.withColumn("selected", (F.col("rank") <= F.col("k")) & ~F.col("excluded"))
-    lot = F.row_number().over(Window.partitionBy("selected").orderBy(F.xxhash64(*key)))
-    return ranked.withColumn("lot", lot).withColumn("control", ~F.col("selected") & (F.col("lot") <= F.greatest(F.lit(1), F.bround((F.col("n") - F.col("k")) * CONTROL_FRACTION)))).drop("lot", "n", "k")
+    ranked = number_rows(scored.withColumn("_down", -F.round("score", 9)), ["excluded", "_down", *key], "rank").join(F.broadcast(n))
+    ranked = ranked.withColumn("rank", F.col("rank").cast("int")).withColumn("selected", (F.col("rank") <= F.col("k")) & ~F.col("excluded"))
+    drawn = number_rows(ranked.withColumn("_h", F.xxhash64(*key)), ["selected", "_h", *key], "lot")
+    control = ~F.col("selected") & (F.col("lot") <= F.greatest(F.lit(1), F.bround((F.col("n") - F.col("k")) * CONTROL_FRACTION)))
+    return drawn.withColumn("control", control).select(*scored.columns, "rank", "selected", "control")
 
 
 # ---- compiling a question ------------------------------------------------------------------------

@@ -9,14 +9,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..operators import distance, grid
 from ..operators.components import grid_components
 from ..operators.graph import staged
-from ..sources.cells import GSD, PIXEL_M2, STRIDE
 from . import products
 
 #: A passage is ground this trafficable; pieces below the floor are left out unless all are.
@@ -98,7 +97,7 @@ def _find(i, verb: str, args: list[str]) -> Answer:
 def near(i, rows: DataFrame, class_id: int, metres: float) -> DataFrame:
     """Regions whose centroid's cell lies within metres of the class: nearest distances, met by cell."""
     cells = i.cells.withColumn("seed", F.col("valid") & (F.col("class_id") == class_id))
-    d2 = distance.nearest_d2(cells, "seed").where(F.col("d2") <= (metres / GSD) ** 2)
+    d2 = distance.nearest_d2(cells, "seed").where(F.col("d2") <= (metres / i.gsd) ** 2)
     at = rows.withColumn("_r", F.floor("cy")).withColumn("_c", F.floor("cx"))
     return at.join(d2.select(F.col("r").alias("_r"), F.col("c").alias("_c")), ["_r", "_c"], "left_semi").drop("_r", "_c")
 
@@ -112,12 +111,12 @@ def _distance(i, verb: str, args: list[str]) -> Answer:
     mine = i.valid.where(F.col("class_id") == a).select(F.col("r").alias("ar"), F.col("c").alias("ac"))
     met = mine.join(F.broadcast(best), (F.col("ar") - F.col("br")) * (F.col("ar") - F.col("br")) + (F.col("ac") - F.col("bc")) * (F.col("ac") - F.col("bc")) == F.col("d2"))
     row = met.orderBy("ar", "ac").limit(1)
-    return Answer("distance", row.select("ar", "ac", "br", "bc", "d2", (F.sqrt("d2") * GSD).alias("metres")))
+    return Answer("distance", row.select("ar", "ac", "br", "bc", "d2", (F.sqrt("d2") * i.gsd).alias("metres")))
 
 
 def _describe(i, verb: str, args: list[str]) -> Answer:
     hist = i.valid.groupBy("class_id").agg(F.count("*").alias("px")).join(i.dim.select("class_id", "name", "superclass"), "class_id")
-    return Answer("describe", hist.select("name", "superclass", "px", (F.col("px") * PIXEL_M2).alias("area_m2")), "pixels; regions are counted after the area cut")
+    return Answer("describe", hist.select("name", "superclass", "px", (F.col("px") * i.pixel_m2).alias("area_m2")), "pixels; regions are counted after the area cut")
 
 
 def passable_pieces(i, vehicle: str, least: float, surface: float | None, width_px: int) -> DataFrame:
@@ -127,7 +126,7 @@ def passable_pieces(i, vehicle: str, least: float, surface: float | None, width_
         score = score.join(i.dim.select("class_id", "traffic"), "class_id").where(F.col("traffic") >= surface)
     ok = i.cells.select("r", "c").join(score.where(F.col("score") >= least).select("r", "c", F.lit(True).alias("ok")), ["r", "c"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     wide = grid.opening(ok, "ok", width_px, "wide") if width_px > 1 else ok.withColumn("wide", F.col("ok"))
-    return grid_components(wide.where("wide").withColumn("key", F.lit(1)), "key", STRIDE).select("r", "c", "root")
+    return grid_components(wide.where("wide").withColumn("key", F.lit(1)), "key", i.stride).select("r", "c", "root")
 
 
 def _corridor(i, verb: str, args: list[str]) -> Answer:
@@ -135,12 +134,12 @@ def _corridor(i, verb: str, args: list[str]) -> Answer:
     vehicle = args[2] if len(args) > 2 and args[1] == "vehicle" else "wheeled"
     if vehicle not in tx.VEHICLES:
         raise ValueError(f"unknown vehicle {vehicle!r}; there are {', '.join(sorted(tx.VEHICLES))}")
-    pieces = staged(passable_pieces(i, vehicle, CORRIDOR_MIN, None, max(1, round(tx.VEHICLES[vehicle][3] / GSD))))
+    pieces = staged(passable_pieces(i, vehicle, CORRIDOR_MIN, None, max(1, round(tx.VEHICLES[vehicle][3] / i.gsd))))
     touched = pieces.join(i.valid.where(F.col("class_id") == seed).select("r", "c"), ["r", "c"], "left_semi").select("root").distinct()
-    sizes = pieces.join(touched, "root", "left_semi").groupBy("root").agg((F.count("*") * PIXEL_M2).alias("area_m2"))
-    big = F.max(F.col("area_m2") >= CORRIDOR_FLOOR_M2).over(Window.partitionBy())
-    kept = sizes.withColumn("some_big", big).where(~F.col("some_big") | (F.col("area_m2") >= CORRIDOR_FLOOR_M2))
-    seen = i.valid.agg((F.count("*") * PIXEL_M2).alias("seen"))
+    sizes = pieces.join(touched, "root", "left_semi").groupBy("root").agg((F.count("*") * i.pixel_m2).alias("area_m2"))
+    big = sizes.agg(F.coalesce(F.max(F.col("area_m2") >= CORRIDOR_FLOOR_M2), F.lit(False)).alias("some_big"))
+    kept = sizes.join(F.broadcast(big)).where(~F.col("some_big") | (F.col("area_m2") >= CORRIDOR_FLOOR_M2))
+    seen = i.valid.agg((F.count("*") * i.pixel_m2).alias("seen"))
     out = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("area_m2"), F.lit(0.0)).alias("area_m2")).join(F.broadcast(seen))
     return Answer("corridor", out.select("n", "area_m2", F.round(F.col("area_m2") / F.col("seen"), 6).alias("share")), evidence=kept.select("root"))
 

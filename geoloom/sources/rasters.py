@@ -29,6 +29,29 @@ class Refused(ValueError):
     """A raster that can't be read as labels, and why."""
 
 
+def shape_npy(data: bytes) -> tuple[tuple[int, int], dict]:
+    f = io.BytesIO(data)
+    version = np.lib.format.read_magic(f)
+    shape, _, dtype = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+    if len(shape) != 2 or dtype.kind not in "iub":
+        raise Refused(f"labels are a 2-D integer array, not {len(shape)}-D {dtype}")
+    return shape, {}
+
+
+def shape_png(data: bytes) -> tuple[tuple[int, int], dict]:
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise Refused("not a PNG file")
+    w, h = struct.unpack(">II", data[16:24])
+    return (h, w), {}
+
+
+def shape_bmp(data: bytes) -> tuple[tuple[int, int], dict]:
+    if data[:2] != b"BM":
+        raise Refused("not a BMP file")
+    w, h = struct.unpack("<ii", data[18:26])
+    return (abs(h), w), {}
+
+
 def read_npy(data: bytes) -> tuple[np.ndarray, dict]:
     a = np.load(io.BytesIO(data), allow_pickle=False)
     if a.ndim != 2 or a.dtype.kind not in "iub":
@@ -102,8 +125,8 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8, 16: 8}
 _KINDS = {1: "u1", 3: "u2", 4: "u4", 6: "i1", 8: "i2", 9: "i4", 11: "f4", 12: "f8", 16: "u8"}
 
 
-def read_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """The first band of a TIFF in strips or tiles, plain or deflated, with its geographic tags."""
+def tiff_tags(data: bytes) -> tuple[str, dict[int, object]]:
+    """Byte order and tags of a TIFF's first picture."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise Refused("not a TIFF file")
@@ -115,6 +138,35 @@ def read_tiff(data: bytes) -> tuple[np.ndarray, dict]:
         size = _SIZES.get(kind, 1) * n
         body = e[8 : 8 + size] if size <= 4 else data[(o := struct.unpack(order + "I", e[8:12])[0]) : o + size]
         tags[tag] = body.rstrip(b"\0").decode("utf-8", "replace") if kind == 2 else np.frombuffer(body, order + _KINDS[kind]).tolist() if kind in _KINDS else body
+    return order, tags
+
+
+def shape_tiff(data: bytes) -> tuple[tuple[int, int], dict]:
+    """Size and geographic tags, without any pixel."""
+    _, tags = tiff_tags(data)
+    return (tags.get(257, [0])[0], tags.get(256, [0])[0]), tiff_meta(tags)
+
+
+def tiff_meta(tags: dict[int, object]) -> dict:
+    meta: dict = {}
+    if 33550 in tags and 33922 in tags:
+        (sx, sy, *_), tie = tags[33550], tags[33922]
+        meta |= {"px": sx, "py": sy, "x0": tie[3] - tie[0] * sx, "y0": tie[4] + tie[1] * sy}
+    keys = tags.get(34735, [])
+    for k in range(4, len(keys), 4):
+        if keys[k] in (2048, 3072):
+            meta["crs"] = int(keys[k + 3])
+    if isinstance(tags.get(42113), str) and tags[42113].strip():
+        meta["nodata"] = int(float(tags[42113]))
+    m = re.search(r'name="ID_TO_LABEL_MAPPING"[^>]*>(.*?)</Item>', str(tags.get(42112, "")), re.S)
+    if m:
+        meta["mapping"] = m[1].replace("&quot;", '"')
+    return meta
+
+
+def read_tiff(data: bytes) -> tuple[np.ndarray, dict]:
+    """The first band of a TIFF in strips or tiles, plain or deflated, with its geographic tags."""
+    order, tags = tiff_tags(data)
     one = lambda t, default: tags.get(t, [default])[0]
     w, h, bits, packed, bands = one(256, 0), one(257, 0), one(258, 1), one(259, 1), one(277, 1)
     if bands != 1:
@@ -133,30 +185,25 @@ def read_tiff(data: bytes) -> tuple[np.ndarray, dict]:
         a = np.frombuffer(part, dtype, rows * tw).reshape(rows, tw)
         a = np.cumsum(a, axis=1, dtype=dtype) if one(317, 1) == 2 else a
         out[r : r + th, c : c + tw] = a[: h - r, : w - c]
-    meta: dict = {}
-    if 33550 in tags and 33922 in tags:
-        (sx, sy, *_), tie = tags[33550], tags[33922]
-        meta |= {"px": sx, "py": sy, "x0": tie[3] - tie[0] * sx, "y0": tie[4] + tie[1] * sy}
-    keys = tags.get(34735, [])
-    for k in range(4, len(keys), 4):
-        if keys[k] in (2048, 3072):
-            meta["crs"] = int(keys[k + 3])
-    if isinstance(tags.get(42113), str) and tags[42113].strip():
-        meta["nodata"] = int(float(tags[42113]))
-    m = re.search(r'name="ID_TO_LABEL_MAPPING"[^>]*>(.*?)</Item>', str(tags.get(42112, "")), re.S)
-    if m:
-        meta["mapping"] = m[1].replace("&quot;", '"')
+    meta = tiff_meta(tags)
     return out if dtype.kind == "f" else out.astype(np.int64), meta
 
 
 READERS = {".npy": read_npy, ".png": read_png, ".bmp": read_bmp, ".tif": read_tiff, ".tiff": read_tiff}
 
 
+SHAPES = {".npy": shape_npy, ".png": shape_png, ".bmp": shape_bmp, ".tif": shape_tiff, ".tiff": shape_tiff}
+
+
 def decode(path: str, data: bytes) -> tuple[np.ndarray, dict]:
+    return _by_ending(READERS, path)(data)
+
+
+def _by_ending(table: dict, path: str):
     ending = path[path.rfind(".") :].lower()
-    if ending not in READERS:
+    if ending not in table:
         raise Refused(f"{path}: no reader for {ending!r}")
-    return READERS[ending](data)
+    return table[ending]
 
 
 def class_map(text: str | dict) -> dict[int, str]:
@@ -193,7 +240,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """Size, placement, reference system, nodata value and class mapping of each raster."""
+    """Size, placement, reference system, nodata value and class mapping of each raster; no pixel is decoded."""
     ensure_importable(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +248,8 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
         types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, m = decode(name, data)
-                row = [name, *a.shape, *(m.get(k) for k in names[3:])]
+                shape, m = _by_ending(SHAPES, name)(data)
+                row = [name, *shape, *(m.get(k) for k in names[3:])]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
     return files(spark, path).mapInArrow(run, META)

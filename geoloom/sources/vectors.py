@@ -59,9 +59,15 @@ def fingerprint(ways: DataFrame) -> str:
 
 # ---- tags ----------------------------------------------------------------------------------------
 
-# Half widths in metres by grade, lane width, least half width.
-HALF_WIDTHS = {"motorway": 11.0, "trunk": 9.0, "primary": 7.0, "secondary": 6.0, "tertiary": 5.0, "residential": 4.0, "service": 3.0, "track": 2.5, "path": 1.0, "footway": 1.0}
-LANE_M, LEAST_M = 3.5, 1.0
+# Half widths in metres by grade and without one, lane width, least half width;
+# widths and numbers of lanes that are believed.
+HALF_WIDTHS = {
+    "motorway": 11.0, "trunk": 8.0, "primary": 7.0, "secondary": 6.0, "tertiary": 5.0, "unclassified": 4.0, "residential": 4.0,
+    "living_street": 3.5, "service": 3.0, "track": 2.5, "road": 4.0,
+    "pedestrian": 2.5, "footway": 1.0, "path": 1.0, "steps": 1.0, "cycleway": 1.0, "bridleway": 1.0, "corridor": 1.0,
+}
+DEFAULT_M, LANE_M, LEAST_M = 3.0, 3.5, 1.0
+WIDTH_RANGE, LANES_RANGE = (0.5, 60.0), (1.0, 12.0)
 
 
 def tag(name: str) -> Column:
@@ -79,11 +85,18 @@ def kind() -> Column:
 
 
 def half_width() -> Column:
-    """From the width tag, else lanes, else the grade; a metre at least."""
-    number = F.expr("try_cast(regexp_extract(tags['width'], '([0-9]+(?:\\\\.[0-9]+)?)', 1) as double)")
-    lanes = F.expr("try_cast(regexp_extract(tags['lanes'], '([0-9]+)', 1) as double)")
+    """Half of a believable width tag; else the grade's half width, of which lanes are a floor; a metre at least."""
+    number = F.expr("try_cast(trim(split(trim(replace(coalesce(nullif(tags['width'], ''), tags['est_width']), 'm', ' ')), ' ')[0]) as double)")
+    lanes = F.expr("try_cast(trim(split(tags['lanes'], ';')[0]) as double)")
     grades = F.create_map(*(x for k, v in HALF_WIDTHS.items() for x in (F.lit(k), F.lit(v))))
-    return F.greatest(F.lit(LEAST_M), F.coalesce(number / 2, lanes * LANE_M / 2, F.try_element_at(grades, tag("highway")), F.lit(LEAST_M)))
+    by_grade = F.coalesce(F.try_element_at(grades, grade()), F.lit(DEFAULT_M))
+    by_lanes = F.when(lanes.between(*LANES_RANGE), lanes * LANE_M / 2)
+    return F.greatest(F.lit(LEAST_M), F.coalesce(F.when(number.between(*WIDTH_RANGE), number / 2), F.greatest(by_grade, by_lanes)))
+
+
+def grade() -> Column:
+    """The highway value, a link counting as the road it leads to; null for what is no road."""
+    return F.regexp_replace(F.nullif(tag("highway"), F.lit("")), "_link$", "")
 
 
 def is_closed() -> Column:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoloom.sources import notes, rasters, store, vectors
 
@@ -98,6 +99,88 @@ def test_mosaic_joins_across_a_seam_and_crops(spark, tmp_path):
         rasters.mosaic(spark, str(tmp_path))
 
 
+def test_headers_decode_no_pixels(spark, tmp_path):
+    a = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    np.save(tmp_path / "a.npy", a)
+    (tmp_path / "b.png").write_bytes(rasters.write_png(a)[:40])  # cut off before its pixels
+    whole = tiff(a, 2.0, 5.0, 0.5, nodata=0, mapping={"1": "House"})
+    (tmp_path / "c.tif").write_bytes(whole.replace(zlib.compress(a.tobytes()), bytes(len(zlib.compress(a.tobytes())))))
+    got = [tuple(r)[1:] for r in rasters.headers(spark, str(tmp_path)).orderBy("path").collect()]
+    none = (None,) * 7
+    assert got == [(2, 3, *none), (2, 3, *none), (2, 3, 0.5, 0.5, 2.0, 5.0, 4326, 0, '{"1": "House"}')]
+
+
+@pytest.fixture(scope="module")
+def wide_map(spark, tmp_path_factory):
+    """Two overlapping tiles, 1,300 columns together, and the same cells as an array."""
+    rng = np.random.default_rng(3)
+    a = np.repeat(np.repeat(rng.choice([4, 8, 9, 11, 14, 17, 20], (8, 163)), 8, axis=0), 8, axis=1)[:60, :1300].astype(np.uint8)
+    a[rng.random(a.shape) < 0.02] = 250
+    folder = tmp_path_factory.mktemp("tiles")
+    first = a[:, :800].copy()
+    first[:, 700:] = 3  # the later tile wins in the overlap
+    first[:, 700:][a[:, 700:800] == 250] = 250
+    (folder / "a.tif").write_bytes(tiff(first, 0.0, 60.0, nodata=250))
+    (folder / "b.tif").write_bytes(tiff(a[:, 700:], 700.0, 60.0, nodata=250))
+    return str(folder), a
+
+
+def test_queries_over_a_mosaic_equal_those_over_its_cells(spark, wide_map):
+    from geoloom.plans import audit, triage, verbs
+    from geoloom.plans.index import Index
+
+    path, a = wide_map
+    rows = [(r, c, int(k) if k != 250 else None, bool(k != 250)) for (r, c), k in np.ndenumerate(a) if k != 250]
+    cells = spark.createDataFrame(rows, "r long, c long, class_id int, valid boolean")
+    both = [Index.from_raster(spark, path, 0.3), Index(spark, cells=cells, gsd=0.3, stride=a.shape[1])]
+    key = ["chip_r", "chip_c"]
+
+    def answers(i):
+        policy = triage.compile_query("find houses near water")
+        picked = triage.select(triage.score(policy, i.chip_frac, triage.units(i), key), key)
+        frames = [verbs.run(i, "find House minarea 4").rows, verbs.run(i, "count Water near House 3").rows, verbs.run(i, "distance House Water").rows, audit.Audit(i).findings.select("region_id", "cause", "severity"), picked.select(*key, F.round("score", 9), "rank", "selected", "control")]
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    one, two = map(answers, both)
+    assert one == two and all(one)
+    names = {r.region_id: (r.area_px, r.r0, r.c0) for r in both[0].regions.collect()}
+    assert len(names) == len(set(names.values())) and max(v[2] for v in names.values()) > 1000
+    assert (a == 4).sum() * 0.09 == pytest.approx(verbs.run(both[0], "describe").rows.where("name = 'House'").first().area_m2)
+    with pytest.raises(verbs.Unanswerable):
+        verbs.run(both[0], "find House slope > 5")
+
+
+def test_an_index_is_kept_across_sessions_and_rebuilt_when_cells_change(spark, wide_map, tmp_path):
+    from geoloom.plans.index import Index
+
+    path, a = wide_map
+    kept = store.IndexStore(spark, str(tmp_path / "kept"))
+    first = Index.from_raster(spark, path, 0.3, store=kept).regions.count()
+    n = kept.entries().count()
+    assert Index.from_raster(spark, path, 0.3, store=kept).regions.count() == first and kept.entries().count() == n
+    Index.from_raster(spark, path, 0.5, store=kept).regions.count()
+    assert kept.entries().count() == 2 * n
+
+
+def test_the_command_line_reads_a_raster(wide_map, capsys, spark):
+    from geoloom import cli
+
+    assert cli.main(["--input", wide_map[0], "--gsd", "0.3", "ask", "count", "House"]) == 0
+    assert capsys.readouterr().out.splitlines()[0] == "n\tarea_m2"
+
+
+def test_half_widths(spark):
+    """By hand: a believable width wins, lanes are a floor, links are their road, nonsense is ignored."""
+    tags = [
+        ({"highway": "residential"}, 4.0), ({"highway": "residential", "width": "6 m"}, 3.0), ({"highway": "residential", "width": "6m"}, 3.0), ({"highway": "residential", "lanes": "4"}, 7.0),
+        ({"highway": "motorway", "lanes": "2"}, 11.0), ({"highway": "service", "width": "900"}, 3.0), ({"highway": "trunk"}, 8.0), ({"highway": "primary_link"}, 7.0), ({"highway": "unknown"}, 3.0),
+        ({"highway": "steps"}, 1.0), ({"highway": "pedestrian"}, 2.5), ({"highway": "track", "est_width": "4.5"}, 2.25), ({"highway": "track", "width": "1"}, 1.0), ({"highway": "road", "lanes": "3;2"}, 5.25),
+        ({"highway": "road", "lanes": "40"}, 4.0), ({"highway": "living_street", "width": "20'"}, 3.5), ({"waterway": "river"}, 3.0), ({"highway": "path", "width": "", "est_width": "3"}, 1.5),
+    ]
+    ways = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(tags)], "way_id long, tags map<string,string>")
+    assert [r.half for r in ways.select("way_id", vectors.half_width().alias("half")).orderBy("way_id").collect()] == [w for _, w in tags]
+
+
 def test_vectors_from_three_formats(spark, tmp_path):
     over = {"elements": [{"type": "way", "id": 7, "tags": {"highway": "track", "name": "A"}, "nodes": [1, 2], "geometry": [{"lat": 1.0, "lon": 2.0}, {"lat": 1.5, "lon": 2.5}]}, {"type": "node", "id": 1}]}
     (tmp_path / "o.json").write_text(json.dumps(over))
