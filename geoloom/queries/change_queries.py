@@ -12,6 +12,8 @@ from ..functions import taxonomy as tx
 from ..plans import change, products, reference_map, triage
 from ..plans.index import CHIP, TILE, index
 from ..sources.cells import GSD, PIXEL_M2
+from ..sources import vectors
+from .audit_queries import ALL, audit
 from .composition import R6, with_more
 from .duck import sql
 
@@ -110,11 +112,13 @@ def region_to_tile(spark, d):
     return index(spark, d).regions.groupBy(F.floor(F.floor("cy") / TILE).alias("tile_r"), F.floor(F.floor("cx") / TILE).alias("tile_c")).agg(F.count("*").alias("n"), F.sum("area_px").alias("px"))
 
 
-@query("tile_rollup_findings")
+CAUSES = f"select floor(floor(cy) / {TILE})::bigint tile_r, floor(floor(cx) / {TILE})::bigint tile_c, cause, count(*) n from {ALL} f join regions using (region_id) group by 1, 2, 3"
+
+
+@query("tile_rollup_findings", sql("nh dim pairs", f"""select tile_r, tile_c, '[' || string_agg('{{"k":' || k || ',"cause":"' || cause || '","n":' || n || '}}', ',' order by k) || ']' causes
+ from (select *, row_number() over (partition by tile_r, tile_c order by n desc, cause) k from ({CAUSES}) q) z where k <= 3 group by 1, 2"""))
 def tile_rollup_findings(spark, d):
     """Findings per tile with the three main causes, by the regions' centroids."""
-    from .audit_queries import audit
-
     i = index(spark, d)
     at = i.regions.select("region_id", F.floor(F.floor("cy") / TILE).alias("tile_r"), F.floor(F.floor("cx") / TILE).alias("tile_c"))
     n = audit(spark, d).findings.join(at, "region_id").groupBy("tile_r", "tile_c", "cause").agg(F.count("*").alias("n"))
@@ -145,7 +149,10 @@ ANCH = f"anc as (select chip_r, chip_c, y.class_id anchor, sqrt(min((x.r - y.r)
 
 
 def score_sql(name: str) -> str:
-    p = triage.BUILTIN[name]
+    return policy_sql(triage.BUILTIN[name])
+
+
+def policy_sql(p) -> str:
     w = "case class_id " + " ".join(f"when {tx.class_id(n)} then {v}" for n, v in p.class_weights.items()) + " else 0 end"
     ent = triage.ENTROPY_WEIGHT.get(p.regime.split("+")[0], 0.15)
     rules = ["1"]
@@ -155,7 +162,7 @@ def score_sql(name: str) -> str:
             rules.append(f"case when coalesce((select m from anc where anc.chip_r = q.chip_r and anc.chip_c = q.chip_c and anchor = {tx.class_id(cls)}), 1e9) < {limit} then {factor} else 1 end")
         elif text.startswith("entropy"):
             rules.append(f"case when {text} then {factor} else 1 end")
-    return f"(select chip_r, chip_c, ex_frac > 0.8 excluded, case when ex_frac > 0.8 then 0 else mass * (1 - ex_frac) * {' * '.join(rules)} * (1 + {ent} * entropy / 4.0) end score from (select chip_r, chip_c, sum({w} * frac) mass, coalesce(sum(frac) filter (class_id in ({_in(p.hard_exclude)})), 0) ex_frac from chip_frac group by 1, 2) q join chips using (chip_r, chip_c))"
+    return f"(select chip_r, chip_c, ex_frac > 0.8 excluded, case when ex_frac > 0.8 then 0 else mass * (1 - ex_frac) * {' * '.join(rules)} * (1 + {ent} * entropy / 4.0) end score from (select chip_r, chip_c, sum({w} * frac) mass, coalesce(sum(frac) filter (class_id in ({_in(p.hard_exclude) or -1})), 0) ex_frac from chip_frac group by 1, 2) q join chips using (chip_r, chip_c))"
 
 
 for _p in triage.BUILTIN:
@@ -190,7 +197,10 @@ def s3_control_set(spark, d):
     return triage.select(_scored(index(spark, d), "structures"), KEY).where("control").select(*KEY)
 
 
-@query("s3_cost_reduction")
+LOOKED = f"(select count(*) n, count(*) filter (excluded) ex, count(*) filter (rank <= k and not excluded) chosen, any_value(k) k from {SEL} z)"
+
+
+@query("s3_cost_reduction", with_more("chips", " " + ANCH, f"select 1 - looked::double / n cost_reduction, 1 - looked::double / (n - ex) cost_reduction_searchable from (select *, chosen + least(n - chosen, greatest(1, round_even((n - k) * 0.03, 0))) looked from {LOOKED} q)"))
 def s3_cost_reduction(spark, d):
     s = triage.select(_scored(index(spark, d), "structures"), KEY)
     looked = F.count_if(F.col("selected") | F.col("control"))
@@ -206,13 +216,18 @@ def _app_sql(p) -> str:
     return f"(select chip_r, chip_c, least(1, greatest(t, h, 0.5 * coalesce((select greatest(0, 1 - min(m) / 120.0) from anc where anc.chip_r = q.chip_r and anc.chip_c = q.chip_c and anchor in ({_in(near)})), 0))) applicability from (select chip_r, chip_c, coalesce(sum(frac) filter (class_id in ({_in(p.applies_to)})), 0) t, coalesce(sum(0.45 * frac) filter (class_id in ({_in(hab)})), 0) h from chip_frac group by 1, 2) q)"
 
 
+def _absence_sql(p) -> str:
+    there = f"(select chip_r, chip_c, coalesce(sum(frac) filter (class_id in ({_in(p.applies_to)})), 0) t from chip_frac group by 1, 2)"
+    return f"select chip_r, chip_c, round(applicability * score * (1 - t), 6)::double as value from {_app_sql(p)} a join {policy_sql(p)} s using (chip_r, chip_c) join {there} h using (chip_r, chip_c) where applicability >= {triage.APPLICABLE_MIN}"
+
+
 @query("s3_applicability", with_more("chips", " " + ANCH, f"select chip_r, chip_c, round(applicability, 6)::double applicability from {_app_sql(APP)} z"))
 def s3_applicability(spark, d):
     i = index(spark, d)
     return triage.applicability(APP, i.chip_frac, triage.units(i), KEY).select(*KEY, R6("applicability").alias("applicability"))
 
 
-@query("s3_absence_score")
+@query("s3_absence_score", with_more("chips", " " + ANCH, _absence_sql(APP)))
 def s3_absence_score(spark, d):
     """Where what is asked for is missing though the ground suits it: applicability * priority * (1 - presence)."""
     i = index(spark, d)
@@ -244,6 +259,42 @@ def burn_axis_ways(spark, d):
     return index(spark, d).way_cells.groupBy("way_id").agg(F.count("*").alias("px"), F.sum(F.col("r") * 31 + F.col("c")).alias("chk"))
 
 
+# Tagged polylines, one a nation, for the burner: the widths below are written out, not taken from the library.
+_HIGHWAYS = ["motorway", "trunk", "primary_link", "residential", "track", "steps", "unclassified"]
+_HALF = "case when k % 5 = 0 then 3.0 when k % 5 = 1 then case k % 7 when 0 then 11.0 when 1 then 8.0 when 2 then 7.0 when 3 then 7.0 when 4 then 7.0 when 5 then 7.0 else 7.0 end else case k % 7 when 0 then 11.0 when 1 then 8.0 when 2 then 7.0 when 3 then 4.0 when 4 then 2.5 when 5 then 1.0 else 4.0 end end"
+_POINTS = ["k * 3 % h", "5.25", "(k * 17 + 40) % h", "100.5", "k * 29 % h", "190.75"]
+_SEGMENTS = f"""
+ pts as (select n_nationkey::bigint k, h from nation, (select max(r) + 1 h from cells) e),
+ seg as (select k, 2 * ({_HALF}) half, ({_POINTS[0]})::double r0, {_POINTS[1]}::double c0, ({_POINTS[2]})::double r1, {_POINTS[3]}::double c1 from pts
+  union all select k, 2 * ({_HALF}), ({_POINTS[2]})::double, {_POINTS[3]}::double, ({_POINTS[4]})::double, {_POINTS[5]}::double from pts),
+ tt as (select *, greatest(0, least(1, ((r + 0.5 - r0) * (r1 - r0) + (c + 0.5 - c0) * (c1 - c0)) / ((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0)))) t from seg join cells on r between floor(least(r0, r1) - half) and floor(greatest(r0, r1) + half)),
+ burned as (select distinct k way_id, r, c from tt where (r + 0.5 - r0 - t * (r1 - r0)) ** 2 + (c + 0.5 - c0 - t * (c1 - c0)) ** 2 <= half * half)"""
+
+
+def _tagged_ways(spark, d):
+    """(way_id, tags, rows, cols): bent ways across the grid, some with a width, some with lanes."""
+    high = index(spark, d).cells.agg((F.max("r") + 1).alias("h"))
+    k = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k")).join(F.broadcast(high))
+    highway = F.element_at(F.array(*map(F.lit, _HIGHWAYS)), (F.col("k") % 7 + 1).cast("int"))
+    tags = F.map_filter(F.create_map(F.lit("highway"), highway, F.lit("width"), F.when(F.col("k") % 5 == 0, "6 m"), F.lit("lanes"), F.when(F.col("k") % 5 == 1, "4")), lambda _, v: v.isNotNull())
+    at = [F.expr(f"cast({p} as double)") for p in _POINTS]
+    return k.select(F.col("k").alias("way_id"), tags.alias("tags"), F.array(*at[::2]).alias("rows"), F.array(*at[1::2]).alias("cols"))
+
+
+@query("burn_tagged_ways", with_more("cells", _SEGMENTS, "select way_id, count(*) px, sum(r * 31 + c)::bigint chk from burned group by 1"))
+def burn_tagged_ways(spark, d):
+    """Polylines burned as capsules as wide as their tags say, and cut to the grid."""
+    burned = vectors.burn_capsules(_tagged_ways(spark, d), GSD, index(spark, d).cells)
+    return burned.groupBy("way_id").agg(F.count("*").alias("px"), F.sum(F.col("r") * 31 + F.col("c")).alias("chk"))
+
+
+@query("tagged_way_hist", with_more("cells", _SEGMENTS, "select way_id, class_id, count(*) px from burned join cells using (r, c) where valid group by 1, 2"))
+def tagged_way_hist(spark, d):
+    """Classes under each burned way."""
+    i = index(spark, d)
+    return vectors.burn_capsules(_tagged_ways(spark, d), GSD, i.cells).join(i.valid.select("r", "c", "class_id"), ["r", "c"]).groupBy("way_id", "class_id").agg(F.count("*").alias("px"))
+
+
 @query("way_hist", sql("ways", "select way_id, class_id, count(*) px from way_cells join cells using (r, c) where valid group by 1, 2"))
 def way_hist(spark, d):
     i = index(spark, d)
