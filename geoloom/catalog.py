@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
 
 
 # Each module registers its queries as it is imported.
-from .queries import audit_queries, change_queries, composition, extras, reference_queries, region_queries  # noqa: E402, F401
+from .queries import audit_queries, change_queries, composition, extras, notes_queries, reference_queries, region_queries  # noqa: E402, F401

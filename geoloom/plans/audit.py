@@ -184,17 +184,22 @@ WEIGHTS = (0.45, 0.35, 0.20)
 FARTHEST, SWITCH, TWINS = 0.5, 0.15, 0.08
 
 
-def candidates(a: Audit) -> DataFrame:
-    """(region_id, cand): the label, classes near it in meaning, and the three main neighbours."""
+def candidates(a: Audit, noted: DataFrame | None = None) -> DataFrame:
+    """(region_id, cand): the label, classes near it in meaning, and the three main neighbours.
+
+    noted (class_id, cand) are confusions that analysts have seen, which a distance can't know.
+    """
     near = a.i.region_ids.join(a.i.pairs.where(F.col("distance") <= FARTHEST).select(F.col("a").alias("class_id"), F.col("b").alias("cand")), "class_id").select("region_id", "cand")
     k = F.row_number().over(Window.partitionBy("region_id").orderBy(F.desc("shared_px"), "nbr_class"))
     nbrs = a.i.neighbour_hist.withColumn("k", k).where("k <= 3").select("region_id", F.col("nbr_class").alias("cand"))
+    if noted is not None:
+        near = near.unionByName(a.i.region_ids.join(noted.select("class_id", "cand"), "class_id").select("region_id", "cand"))
     return near.unionByName(nbrs).distinct()
 
 
-def scores(a: Audit) -> DataFrame:
+def scores(a: Audit, noted: DataFrame | None = None) -> DataFrame:
     """(region_id, class_id, cand, context, morph, geometry, total) of every candidate."""
-    cand = candidates(a)
+    cand = candidates(a, noted)
     dim = F.broadcast(tx.dim_class(a.i.spark)).select(F.col("class_id").alias("cand"), F.col("name").alias("cand_name"), F.col("lithology").alias("cand_lith"), F.col("morphology").alias("cand_morph"))
     rows = cand.join(dim, "cand").join(a.i.regions.select("region_id", "class_id", "area_m2", "elongation", "mean_slope", "aspect_circvar"), "region_id")
     priors = [(s, o) for s, o, _, _ in tx.PRIORS if o]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
@@ -17,6 +17,25 @@ MIN_EVENT_M2, MIN_SHIFT, CREDIT, LOOK, STRUCTURAL = 20.0, 0.08, 1.0, 0.12, 0.05
 TOP_CLASSES = 4
 
 
+#: Classes there are: the stride of a pair's key.
+N_CLASSES = 47
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    """Two class ids as one number."""
+    return a * N_CLASSES + b
+
+
+def pair_of(key: Column) -> tuple[Column, Column]:
+    return F.floor(key / N_CLASSES).cast("int"), (key % N_CLASSES).cast("int")
+
+
+def grids_match(a: dict, b: dict) -> str:
+    """Why two tile grids (tile_px, cols, rows, shape) can't be compared; empty if they can."""
+    other = [k for k in ("tile_px", "cols", "rows", "shape") if a.get(k) != b.get(k)]
+    return f"the grids have another {other[0]}: {a.get(other[0])} and {b.get(other[0])}" if other else ""
+
+
 class Change:
     def __init__(self, i):
         self.i = i
@@ -44,8 +63,9 @@ class Change:
     @cached_property
     def components(self) -> DataFrame:
         """(a, b, components): 8-connected pieces of each transition, labelled all at once by its key."""
-        keyed = self.joined.where("a is not null and b is not null and a <> b").withColumn("key", F.col("a") * 47 + F.col("b"))
-        return staged(grid_components(keyed, "key", self.i.stride)).groupBy(F.floor(F.col("key") / 47).cast("int").alias("a"), (F.col("key") % 47).cast("int").alias("b")).agg(F.count_distinct("root").alias("components"))
+        keyed = self.joined.where("a is not null and b is not null and a <> b").withColumn("key", pair_key(F.col("a"), F.col("b")))
+        a, b = pair_of(F.col("key"))
+        return staged(grid_components(keyed, "key", self.i.stride)).groupBy(a.alias("a"), b.alias("b")).agg(F.count_distinct("root").alias("components"))
 
 
 def tile_classes(cells: DataFrame, value: str, valid: str) -> DataFrame:

@@ -28,6 +28,19 @@ def odd_window_px(metres: float, gsd: float) -> int:
     return max(3, k + 1 - k % 2)
 
 
+#: What can be asked for by name, in the order of names; the provider's product comes last.
+PRODUCTS = ("built_fabric", "change_volatility", "concealment", "trafficability")
+
+
+def product_keys() -> tuple[str, ...]:
+    return (*PRODUCTS, "traversability")
+
+
+def target_cover(cells: DataFrame, mask: str, side: int, name: str) -> DataFrame:
+    """cells with the share of a target's own footprint, an odd square about its side, that lies in a 0/1 mask."""
+    return grid.box_mean(cells, mask, side + 1 - side % 2, name) if side > 1 else cells.withColumn(name, F.col(mask).cast("double"))
+
+
 def trafficability(i, vehicle: str = "wheeled", wet: bool = False) -> DataFrame:
     """Surface times slope, 0 below the vehicle's least surface, less on wet ground."""
     if vehicle not in tx.VEHICLES:
@@ -63,7 +76,7 @@ def concealment(i, target: str = "person") -> DataFrame:
     ground = ground.withColumn("shadow", (F.col("class_id") == tx.class_id("Shadow")).cast("int")).withColumn("built", F.col("class_id").isin(tx.ids(["House", "BrickWall"])))
     ground = grid.dilate(ground, "built", 9, "wide").withColumn("beside", (F.col("wide") & ~F.col("built")).cast("int"))
     for mask in ("shadow", "beside"):
-        ground = grid.box_mean(ground, mask, side + 1 - side % 2, mask + "_cover") if side > 1 else ground.withColumn(mask + "_cover", F.col(mask).cast("double"))
+        ground = target_cover(ground, mask, side, mask + "_cover")
     ground = grid.local_std(grid.local_std(ground, "slope", window, "rough"), "elev", window, "amplitude")
     top = ground.agg(F.max("rough").alias("top"))
     cover = F.greatest(F.pow("canopy", F.lit(min(1 + footprint / CLUMP_M2, EXPONENT_CAP))), SHADOW * F.col("shadow_cover"), BESIDE_BUILT * F.col("beside_cover"))

@@ -29,4 +29,13 @@ def estimate(name: str, i, vehicle: str = "wheeled", wet: bool = False, mask: Da
     return s
 
 
+def caveats(name: str, scores: DataFrame, has_terrain: bool, notes: tuple[str, ...] = ()) -> str:
+    """What a reader must know with the scores: the provider, whether terrain counted, how much wasn't measured, and its notes as they are."""
+    n, unknown = scores.agg(F.count("*"), F.count_if(F.col("score").isNull())).first()
+    lines = [f"# traversability by {name}, {'with' if has_terrain else 'without'} terrain"]
+    lines += [] if has_terrain else ["#   no elevation was used: a map of surfaces, not of going"]
+    lines += [f"#   {unknown / n:.1%} wasn't measured: unknown, not impassable"] if n and unknown else []
+    return "\n".join(lines + [f"#   {t}" for t in notes])
+
+
 register("builtin", products.trafficability)

@@ -133,6 +133,22 @@ def registration(shifts: DataFrame, gsd: float) -> str | None:
     return None if row.s is None else registered(row.zero or 0, row.px, float(np.hypot(row.s.dr, row.s.dc)) * gsd)
 
 
+# The checks of a class that each burned layer makes possible; roads are always burned.
+CHECKS = [
+    *((c, "road", f"osm-road-{k}") for c in ("PavedRoad", "DirtRoad", "DirtRoadB") for k in ("missing", "occluded", "grade", "extra")),
+    ("House", "building", "osm-building-missing"),
+    ("House", "building", "osm-building-extra"),
+    ("Water", "water", "osm-water-extra"),
+    ("Water", "flow", "osm-water-extra"),
+]
+
+
+def checks_by_class(spark, layers: set[str]) -> DataFrame:
+    """(class_id, check): what the burned layers can test, so that a silent check isn't read as a passed one."""
+    rows = sorted({(tx.class_id(c), k) for c, layer, k in CHECKS if layer in layers | {"road"}})
+    return spark.createDataFrame(rows, "class_id int, check string")
+
+
 def registered(px_at_zero: int, best_px: int, best_shift_m: float, gain: float = 1.10, ok_m: float = 2.0, bad_m: float = 5.0) -> str:
     """Verdict of a shift search: only a clear, large gain elsewhere says misregistered."""
     if best_px < gain * max(px_at_zero, 1) or best_shift_m <= ok_m:

@@ -93,6 +93,18 @@ def rule_column(text: str, columns: set[str]) -> Column:
     return F.coalesce(F.expr(f"`{name}` {op} {number}"), F.lit(False))
 
 
+def weight_vector(policy: Policy, dim: DataFrame) -> DataFrame:
+    """(class_id, weight) of every class; 0 where the policy names none."""
+    weights = F.create_map(*(x for n, w in policy.class_weights.items() for x in (F.lit(tx.class_id(n)), F.lit(float(w))))) if policy.class_weights else None
+    return dim.select("class_id", F.coalesce(F.try_element_at(weights, F.col("class_id")), F.lit(0.0)).alias("weight") if weights is not None else F.lit(0.0).alias("weight"))
+
+
+def not_applicable(selected: DataFrame, applicable: DataFrame, key: list[str]) -> DataFrame:
+    """(n): rejected units where what is asked for could not be anyway."""
+    both = selected.where(~F.col("selected")).join(applicable, key)
+    return both.agg(F.count_if(F.col("applicability") < APPLICABLE_MIN).alias("n"))
+
+
 def missing_features(policy: Policy, columns: set[str]) -> list[str]:
     """Rules of a policy that these units can't measure."""
     out = []

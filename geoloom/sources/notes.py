@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 
@@ -55,6 +56,28 @@ def problems(rows: list[tuple]) -> list[str]:
     return out + [f"{c}: confused with {n}, which is no class" for c, f, v, _ in rows if f == "confused_with" for n in confusions(v)[1]]
 
 
+def confused(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """(class_id, cand, why): classes that notes say are mixed up; names that are no class are left to problems()."""
+    found = [(tx.class_id(c), tx.class_id(n), why) for c, f, v, _ in rows if f == "confused_with" and c in tx.by_name() and filled(v) for n, why in confusions(v)[0]]
+    return spark.createDataFrame(found, "class_id int, cand int, why string")
+
+
+def fields_filled(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """(class_id, filled, definition) of classes with a note: how many known fields say something, and the definition if it does."""
+    out: dict[str, tuple[int, str | None]] = {}
+    for c, f, v, extra in rows:
+        if c in tx.by_name() and not extra and filled(v):
+            n, text = out.get(c, (0, None))
+            out[c] = (n + 1, v if f == "definition" else text)
+    return spark.createDataFrame([(tx.class_id(c), n, t) for c, (n, t) in out.items()], "class_id int, filled int, definition string")
+
+
+def coverage(hist: DataFrame, dim: DataFrame, noted: DataFrame) -> DataFrame:
+    """(class_id, name, px, filled): every class by how much of the map it covers, so that notes go where the map is."""
+    every = dim.select("class_id", "name").join(hist.select("class_id", "px"), "class_id", "left").join(noted.select("class_id", "filled"), "class_id", "left")
+    return every.select("class_id", "name", F.coalesce("px", F.lit(0)).alias("px"), F.coalesce("filled", F.lit(0)).alias("filled"))
+
+
 def template() -> str:
     """A stub section for every class."""
     return "\n".join("## " + r[2] + "\n" + "\n".join(f"{f}: -" for f in FIELDS) + "\n" for r in tx.rows())

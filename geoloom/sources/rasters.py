@@ -255,6 +255,35 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).mapInArrow(run, META)
 
 
+DEGREE_M = 111320.0
+
+
+def bbox_of(head, margin_m: float = 150.0) -> tuple[float, float, float, float]:
+    """(south, west, north, east) in degrees of a header row, padded; refused without a place on Earth."""
+    if head.px is None or head.x0 is None:
+        raise Refused(f"{head.path}: no affine, so its place isn't known")
+    if head.crs not in (None, 4326):
+        raise Refused(f"{head.path}: EPSG:{head.crs} would have to be reprojected")
+    south, north = sorted((head.y0, head.y0 - head.height * head.py))
+    west, east = sorted((head.x0, head.x0 + head.width * head.px))
+    up = margin_m / DEGREE_M
+    side = margin_m / max(DEGREE_M * np.cos(np.radians((south + north) / 2)), 1.0)
+    return south - up, west - side, north + up, east + side
+
+
+def window_of_tile(mosaic_head, tile_head) -> tuple[int, int, int, int]:
+    """(r0, c0, r1, c1) of a tile in its mosaic, from both headers; other systems or cell sizes are refused, never resampled."""
+    for head in (mosaic_head, tile_head):
+        if head.px is None or head.x0 is None:
+            raise Refused(f"{head.path}: no affine, so it can't be placed")
+    if mosaic_head.crs != tile_head.crs:
+        raise Refused(f"EPSG:{tile_head.crs} isn't the mosaic's EPSG:{mosaic_head.crs}")
+    if any(abs(a - b) > abs(a) * 1e-6 for a, b in ((mosaic_head.px, tile_head.px), (mosaic_head.py, tile_head.py))):
+        raise Refused(f"cells of {tile_head.px} x {tile_head.py} aren't the mosaic's {mosaic_head.px} x {mosaic_head.py}")
+    r0, c0 = round((mosaic_head.y0 - tile_head.y0) / mosaic_head.py), round((tile_head.x0 - mosaic_head.x0) / mosaic_head.px)
+    return r0, c0, r0 + tile_head.height, c0 + tile_head.width
+
+
 def labels(spark: SparkSession, path: str, mapping: dict[int, str] | str | None = None) -> DataFrame:
     """(path, r, c, class_id, valid): wire ids mapped by name; an unmapped valid id is refused, nodata is no class."""
     raw = scan(spark, path)

@@ -25,6 +25,14 @@ def fingerprint_of(df: DataFrame) -> str:
     return f"{n}-{h or 0:x}"
 
 
+def age_text(seconds: float) -> str:
+    """How long ago, in the largest unit that fits."""
+    for unit, size in (("d", 86400), ("h", 3600), ("min", 60)):
+        if seconds >= size:
+            return f"{seconds / size:.0f} {unit}"
+    return f"{max(0, seconds):.0f} s"
+
+
 class IndexStore:
     """get() reads a table whose key matches, else builds and writes it; a half-written entry has no metadata and is rebuilt."""
 

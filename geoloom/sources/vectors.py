@@ -154,6 +154,11 @@ def fill_polygons(ways: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     return out.join(cells.select("r", "c"), ["r", "c"], "left_semi") if cells is not None else out
 
 
+def named_streets(ways: DataFrame) -> DataFrame:
+    """(name): the distinct names of roads."""
+    return ways.where((kind() == "road") & tag("name").isNotNull()).select(tag("name").alias("name")).distinct()
+
+
 def junctions(ways: DataFrame) -> DataFrame:
     """(node, ways, names): nodes that two roads or more share."""
     each = ways.where(kind() == "road").select("way_id", label().alias("name"), F.explode("nodes").alias("node"))

@@ -233,3 +233,32 @@ def test_notes():
     assert notes.scale_range(rows[0][2]) == (25.0, 2000.0) and notes.scale_range("large") is None
     assert not notes.filled("-") and notes.filled("x") and len(notes.problems(rows)) == 3
     assert len({r[0] for r in notes.parse(notes.template())}) == 47
+
+
+def test_places_of_rasters():
+    from types import SimpleNamespace as Head
+
+    m = Head(path="m", px=0.01, py=0.01, x0=35.0, y0=31.0, height=100, width=200, crs=4326)
+    s, w, n, e = rasters.bbox_of(m)
+    assert (s, n) == pytest.approx((30.0 - 150 / 111320, 31.0 + 150 / 111320)) and (w, e) == pytest.approx((35.0 - 150 / (111320 * np.cos(np.radians(30.5))), 37.0 + 150 / (111320 * np.cos(np.radians(30.5)))))
+    tile = Head(path="t", px=0.01, py=0.01, x0=35.5, y0=30.8, height=10, width=20, crs=4326)
+    assert rasters.window_of_tile(m, tile) == (20, 50, 30, 70)
+    for change in ({"crs": 32636}, {"px": 0.02}, {"px": None}):
+        with pytest.raises(rasters.Refused):
+            rasters.window_of_tile(m, Head(**{**vars(tile), **change}))
+    with pytest.raises(rasters.Refused):
+        rasters.bbox_of(Head(**{**vars(m), "x0": None}))
+    assert [store.age_text(s) for s in (5, 90, 7200, 200000)] == ["5 s", "2 min", "2 h", "2 d"]
+
+
+def test_pairs_grids_streets_and_caveats(spark):
+    from geoloom.plans import change, providers
+
+    a, b = change.pair_of(change.pair_key(F.lit(46), F.lit(3)))
+    assert tuple(spark.range(1).select(a, b).first()) == (46, 3)
+    assert change.grids_match({"cols": 3}, {"cols": 3}) == "" and "cols" in change.grids_match({"cols": 3}, {"cols": 4})
+    ways = spark.createDataFrame([(1, {"highway": "track", "name": "A"}), (2, {"highway": "track", "name": "A"}), (3, {"highway": "track"}), (4, {"building": "yes", "name": "B"})], "way_id long, tags map<string,string>")
+    assert [r.name for r in vectors.named_streets(ways).collect()] == ["A"]
+    scores = spark.createDataFrame([(0.5,), (None,), (0.0,), (1.0,)], "score double")
+    text = providers.caveats("builtin", scores, False, ("made for wheels",))
+    assert "25.0%" in text and "no elevation" in text and text.endswith("#   made for wheels")
