@@ -34,6 +34,8 @@ NATS = 14.0
 #: Bits of the filter that finds the texts a verification needs: its size is fixed; once it is
 #: full it passes every text and only costs time.
 FILTER_BITS = 1 << 24
+#: Partners of a node that meet one copy of its text.
+MEMBERS = 512
 #: Least sizes of the levels of differences: each about a seventh above the one before.
 LEVELS = [0]
 while LEVELS[-1] < 1 << 40:
@@ -197,30 +199,51 @@ def _small(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[bytes]]:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union."""
+    """The pairs (a, b) whose full sets have den * intersection >= num * union.
+
+    The text of b is sent once for every MEMBERS of its partners, in front of them, not with each:
+    a node with very many partners is split into as many parts, and a task holds one set of b.
+    """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = staged(_needed(docs, ids).join(ids, "id", "left_semi"))
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    leads = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = pairs.join(leads, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+    members = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
+    first = leads.join(texts.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("a"), "text")
+    met = first.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        known: dict[bytes, np.ndarray] = {}
+        at, own = None, []
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            if len(known) > 64:
-                known.clear()
-            new = [(0, t) for t in {*ta, *tb}.difference(known)]
-            for part in _small(new):
-                known.update(zip(part, shingle_sets(part, width)))
-            good = []
-            for x, y in zip(ta, tb):
-                s, t = known[x], known[y]
-                both_n = len(s) + len(t) - len(np.union1d(s, t)) if len(s) and len(t) else 0
-                good.append(both_n > 0 and den * both_n >= num * (len(s) + len(t) - both_n))
-            yield record_batch(schema, [i for i, g in zip(a, good) if g], [i for i, g in zip(b, good) if g])
-
-    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
+            good: list[tuple[int, int]] = []
+            held: list[tuple[int, bytes]] = []
+
+            def judge() -> None:
+                done = 0
+                for part in _small(held):
+                    for t in shingle_sets(part, width):
+                        for s in own:
+                            both_n = len(s) + len(t) - len(np.union1d(s, t)) if len(s) and len(t) else 0
+                            if both_n > 0 and den * both_n >= num * (len(s) + len(t) - both_n):
+                                good.append((held[done][0], at[0]))
+                                break
+                        done += 1
+                held.clear()
+
+            for b, part, side, a, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (b, part) != at:
+                    judge()
+                    at, own = (b, part), []
+                if side == 0:
+                    own += shingle_sets([text], width)
+                else:
+                    held.append((a, text))
+            judge()
+            if good:
+                yield record_batch(schema, *zip(*good))
+
+    return map_arrow(met, run, "a long, b long").distinct()
 
 
 def _rows(names: list[str], g: int, i: int, c: int, f: int, own, other, e) -> pa.RecordBatch:

@@ -38,7 +38,8 @@ def test_near_duplicates(spark, width, num):
     assert rows_of(near_dedup.near_duplicates(df, width, num, 100)) == want
 
 
-def test_a_hot_group_of_near_copies(spark):
+def test_a_hot_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEMBERS", 7)  # so that groups are split
     rng = random.Random(5)
     base = [rng.choice(W) for _ in range(150)]
     docs = []
@@ -51,6 +52,30 @@ def test_a_hot_group_of_near_copies(spark):
     assert rows_of(near_dedup.near_duplicates(df, 3, 85, 100)) == sorted(near_dedup.brute_force(docs, 3, 85, 100), key=lambda r: tuple(map(str, r)))
 
 
+def test_two_dense_clusters_in_one_bucket(spark):
+    """Two clusters that share most of their words meet in many buckets, and only some of their members are linked."""
+    rng = random.Random(8)
+    base = [rng.choice(W) for _ in range(160)]
+    other = base[:140] + [rng.choice(W) for _ in range(24)]
+    docs = []
+    for k in range(120):
+        x = list(base if k % 2 else other)
+        for _ in range(rng.randint(0, 5)):
+            x[rng.randrange(len(x))] = rng.choice(W)
+        docs.append((k, " ".join(x)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for num in (75, 85):
+        assert rows_of(near_dedup.near_duplicates(df, 3, num, 100)) == sorted(near_dedup.brute_force(docs, 3, num, 100), key=lambda r: tuple(map(str, r)))
+
+
+def test_near_duplicates_query(spark, sf):
+    """The query itself, at its own parameters, on its whole table."""
+    docs = [tuple(r) for r in load(spark, sf, "documents").select("doc_id", "text").collect()]
+    want = near_dedup.brute_force(docs, 3, 85, 100)
+    assert rows_of(queries.op2_near_dedup(spark, sf)) == sorted(want, key=lambda r: tuple(map(str, r)))
+    assert sum(not r[3] for r in want) > 0
+
+
 def test_near_duplicates_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (9, "A b  c d e"), (8, None)], "doc_id long, text string")
     got = rows_of(near_dedup.near_duplicates(df))
