@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,8 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def release_memory() -> None:
     """Give freed memory back to the system: a worker is used again, and shares its executor's limit with others."""
+    _POWERS.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

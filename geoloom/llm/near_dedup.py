@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import map_arrow, mix64, record_batch, span_hashes, staged, text_blocks
+from .common import map_arrow, mix64, record_batch, size_bytes, span_hashes, staged, text_blocks
 
 #: Registers, registers in a band, base of the register scale and rate of the exponentials, as in
 #: the sketch's published form; the highest register value.
@@ -36,6 +36,8 @@ NATS = 14.0
 FILTER_BITS = 1 << 24
 #: Partners of a node that meet one copy of its text.
 MEMBERS = 512
+#: Bytes of the texts' files to a partition in which they are sorted.
+PART_BYTES = 2 << 20
 #: Least sizes of the levels of differences: each about a seventh above the one before.
 LEVELS = [0]
 while LEVELS[-1] < 1 << 40:
@@ -210,7 +212,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
     dealt = pairs.join(leads, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
     members = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
     first = leads.join(texts.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("a"), "text")
-    met = first.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", "side")
+    parts = max(16, size_bytes(texts) // PART_BYTES)
+    met = first.unionByName(members).repartition(parts, "b", "part").sortWithinPartitions("b", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
