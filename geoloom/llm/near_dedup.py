@@ -165,8 +165,12 @@ def _probable(pairs: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(pairs.select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long")
 
 
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The (doc_id, text) that ids may name: a filter of fixed size goes to the scan, the join does the rest."""
+def _needed(docs: DataFrame, ids: DataFrame, width: int | None = None) -> DataFrame:
+    """The (id, text) that ids name: a filter of fixed size goes to the scan, the join does the rest.
+
+    With a width the same map makes shingle sets of the texts, (id, s): a map of its own after this
+    one would share its stage, and a task would keep two Python workers.
+    """
     spots = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in range(2)))).alias("p"))
     words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
@@ -175,7 +179,7 @@ def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     held = table.view(np.uint64)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"), *(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(k)), F.lit(FILTER_BITS)).alias(f"p{k}") for k in range(2)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.ones(batch.num_rows, bool)
             for c in (2, 3):
@@ -184,7 +188,13 @@ def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if good.any():
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["id", "text"])
 
-    return map_arrow(rows, run, "id long, text binary").where("id is not null")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int64()))])
+        for keys, texts in text_blocks(named(batches), 1 << 19):
+            yield record_batch(schema, keys, [x.view(np.int64) for x in shingle_sets([t or b"" for t in texts], width)])
+
+    found = map_arrow(rows, named, "id long, text binary") if width is None else map_arrow(rows, sets, "id long, s array<long>")
+    return found.where("id is not null").join(ids, "id", "left_semi")
 
 
 def _small(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[bytes]]:
@@ -207,7 +217,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
     a node with very many partners is split into as many parts, and a task holds one set of b.
     """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = staged(_needed(docs, ids).join(ids, "id", "left_semi"))
+    texts = staged(_needed(docs, ids))
     leads = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     dealt = pairs.join(leads, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
     members = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
@@ -268,15 +278,7 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     |D|, so a node is listed once for each level of that, with a prefix as short as the level
     allows; copies that differ in places of their own then don't meet.
     """
-    ids = members.select("id").distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int64()))])
-        for keys, texts in text_blocks(batches, 1 << 19):
-            found = shingle_sets([t or b"" for t in texts], width)
-            yield record_batch(schema, keys, [x.view(np.int64) for x in found])
-
-    texts = map_arrow(_needed(docs, ids).join(ids, "id", "left_semi"), sets, "id long, s array<long>").groupBy("id").agg(F.max("s").alias("s"))
+    texts = _needed(docs, members.select("id").distinct(), width).groupBy("id").agg(F.max("s").alias("s"))
     held = staged(members.join(texts, "id"))
     sizes = members.groupBy("g").agg(F.count("*").alias("size"))
     common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("common"))
