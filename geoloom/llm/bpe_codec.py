@@ -116,12 +116,13 @@ class Codec:
         """Letter, number and space as the reference library's own engine has them, for its Unicode version."""
         import tiktoken
 
-        every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
         table = np.full(0x110000, OTHER, np.uint8)
         single = {bytes([i]): i for i in range(256)}
         for cls, pat in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-            got = bytes(tiktoken.Encoding(f"class{cls}", pat_str=pat, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
-            table[np.frombuffer(got.encode("utf-32-le"), np.uint32)] = cls
+            engine = tiktoken.Encoding(f"class{cls}", pat_str=pat, mergeable_ranks=single, special_tokens={})
+            for lo in chain(range(0, 0xD800, 0x800), range(0xE000, 0x110000, 0x800)):  # in slices: ids take many times a text's bytes
+                got = bytes(engine.encode_ordinary("".join(map(chr, range(lo, lo + 0x800))))).decode()
+                table[np.frombuffer(got.encode("utf-32-le"), np.uint32)] = cls
         table[0x20] = BLANK
         table[0x27] = QUOTE
         return table
