@@ -237,7 +237,7 @@ def char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[int]:
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded size; the driver holds one Spark partition and one block at a time."""
+    """Items in blocks of bounded size; the caller keeps them all, as the plan does: the whole benchmark."""
     block, held = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary")).where("text is not null")
     for name, text in rows.toLocalIterator():
@@ -254,8 +254,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     (flat arrays [start, end, ...] of merged removal spans); with carry, instead, _row (all columns
     of docs as they are) and _spans (those in characters).
 
-    Documents stream through narrow maps, one for each block of items: no shuffle, and what a task
-    holds is one shard and one block.  Null texts have no words; empty items and null item texts
+    Documents stream through one narrow map, whose task meets a shard with one block of items after
+    the other: no shuffle, and it holds a shard and the windows of the benchmark.  Null texts have no words; empty items and null item texts
     match nothing; rows with the same item_id are one item; a null item_id is called null;
     repeated documents give repeated rows; empty tables and other columns are fine.
     """
@@ -263,22 +263,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     key, text = F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("binary").alias("_text")
     rows = docs.select(key, text, *(F.col(c).alias(f"x_{i}") for i, c in enumerate(extra)))
     fields = [T.StructField(f"x_{i}", docs.schema[c].dataType) for i, c in enumerate(extra)]
-    blocks = benchmark_blocks(benchmark, block_bytes)
-    block, first = next(blocks), True
-    while block is not None:
-        following = next(blocks, None)
-        out = T._parse_datatype_string(_MIDDLE if following is not None else _FINAL)
-        rows = map_arrow(rows, _pass(block, width, first, following is None), T.StructType(out.fields + fields))
-        first, block = False, following
+    out = T._parse_datatype_string(_FINAL)
+    rows = map_arrow(rows, _pass(list(benchmark_blocks(benchmark, block_bytes)), width), T.StructType(out.fields + fields))
     found = ["n_words", "n_hit", "n_items", "items", "word_spans", "char_spans"]
     return rows.select(F.struct(*(F.col(f"x_{i}").alias(c) for i, c in enumerate(extra))).alias("_row"), F.col("char_spans").alias("_spans")) if carry else rows.select(F.col("_doc_id").alias("doc_id"), *found)
 
 
-_MIDDLE = "_doc_id long, _text binary, _spans array<int>, _items array<string>"
 _FINAL = "_doc_id long, n_words long, n_hit long, n_items long, items array<string>, word_spans array<int>, char_spans array<int>"
 
 
-def _pass(block: list, width: int, first: bool, last: bool):
+def _pass(blocks: list[list], width: int):
     ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,19 +289,16 @@ def _pass(block: list, width: int, first: bool, last: bool):
             yield pa.concat_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wins = Windows(block, width)
+        wins = [Windows(block, width) for block in blocks]
         for shard in shards(batches):
             texts = [t or b"" for t in shard.column(1).to_pylist()]
-            counts, spans, found = search_shard(texts, wins)
-            if not first:
-                for k, (s, i) in enumerate(zip(shard.column(2).to_pylist(), shard.column(3).to_pylist())):
-                    spans[k] = merged(spans[k] + list(zip(s[::2], s[1::2])))
-                    found[k].update(i)
+            counts, spans, found = search_shard(texts, wins[0])
+            for w in wins[1:]:
+                _, more, items = search_shard(texts, w)
+                spans = [merged(s + m) for s, m in zip(spans, more)]
+                found = [f | i for f, i in zip(found, items)]
             flat, items = [[x for s in sp for x in s] for sp in spans], [sorted(f) for f in found]
-            if last:
-                new = [("n_words", pa.array(counts, pa.int64())), ("n_hit", pa.array([sum(b - a for a, b in sp) for sp in spans], pa.int64())), ("n_items", pa.array(map(len, items), pa.int64())), ("items", pa.array(items, strings)), ("word_spans", pa.array(flat, ints)), ("char_spans", pa.array(map(char_spans, texts, spans), ints))]
-            else:
-                new = [("_text", shard.column(1)), ("_spans", pa.array(flat, ints)), ("_items", pa.array(items, strings))]
+            new = [("n_words", pa.array(counts, pa.int64())), ("n_hit", pa.array([sum(b - a for a, b in sp) for sp in spans], pa.int64())), ("n_items", pa.array(map(len, items), pa.int64())), ("items", pa.array(items, strings)), ("word_spans", pa.array(flat, ints)), ("char_spans", pa.array(map(char_spans, texts, spans), ints))]
             carried = [(n, shard.column(k)) for k, n in enumerate(shard.schema.names) if n.startswith("x_")]
             columns = [("_doc_id", shard.column(0)), *new, *carried]
             yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
