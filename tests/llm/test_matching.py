@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,45 @@ def test_repeats_query(spark, sf):
     assert rows_of(queries.op10_suffix_dedup(spark, sf)) == sorted(suffix_dedup.brute_force(docs), key=lambda r: tuple(map(str, r)))
 
 
+def copied_texts(n):
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(60, 400))) for _ in range(40)]
+    return [(i, rng.choice(base) + "".join(rng.choice("abcd") for _ in range(300)) + rng.choice(base)) for i in range(n)]
+
+
+@pytest.mark.parametrize("pool", [1, 60000, 32 << 20])
+def test_repeats_of_many_parts(spark, monkeypatch, pool):
+    """Pools that are sent once a block, now and then and at the end; several parts a task."""
+    for name, value in (("BLOCK", 3000), ("POOL", pool), ("PART", 512), ("SHARD", 4096)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    docs = copied_texts(90)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert rows_of(suffix_dedup.digest(suffix_dedup.remove_repeats(df))) == sorted(suffix_dedup.brute_force(docs), key=lambda r: tuple(map(str, r)))
+
+
+def test_repeats_send_few_rows(monkeypatch):
+    """A task sends a row to a bucket, not one for each block of documents or each bucket that it reads."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    parts, shards, docs = 11, 5, [(i, t.encode()) for i, t in copied_texts(200)]
+
+    def run(fn, rows, names):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 10])], names=names) for i in range(0, len(rows), 10))
+        return [r for out in fn(batches) for r in zip(*(c.to_pylist() for c in out.columns))]
+
+    grams = run(suffix_dedup._grams(parts), docs, ["doc_id", "payload"])
+    assert len(grams) == 2 * parts  # found by hash, or shared already
+    several = [r for a in range(0, 200, 50) for r in run(suffix_dedup._grams(parts), docs[a : a + 50], ["doc_id", "payload"])]
+    shared = run(suffix_dedup._shared(parts), sorted(several, key=lambda r: (r[1], r[0])), ["bucket", "known", "h", "d"])
+    assert len(shared) == parts
+    texts = [(int(suffix_dedup.part_of(np.int64(d), parts)), 1, suffix_dedup.squeeze(t), b"", d, d) for d, t in docs]
+    sides = sorted([(p, 0, payload, h, 0, 0) for p, payload, h in shared] + texts, key=lambda r: r[:2])
+    cut = run(suffix_dedup._cut(parts, shards), sides, ["part", "side", "payload", "grams", "doc_id", "row"])
+    size = sum(int.from_bytes(r[7][:8], "little") for r in cut)
+    assert 0 < len(cut) <= 2 * shards + size // 3000
+    monkeypatch.setattr(suffix_dedup, "POOL", 1)
+    assert len(run(suffix_dedup._grams(parts), docs, ["doc_id", "payload"])) > 10 * parts
+
+
 @pytest.mark.parametrize("group,asked", [(16384, 65536), (16, 3)])
 def test_top_k(spark, monkeypatch, group, asked):
     monkeypatch.setattr(topk_search, "GROUP", group)
