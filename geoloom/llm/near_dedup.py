@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import map_arrow, mix64, record_batch, size_bytes, span_hashes, staged, text_blocks
+from .common import map_arrow, mix64, record_batch, span_hashes, staged, text_blocks
 
 #: Registers, registers in a band, base of the register scale and rate of the exponentials, as in
 #: the sketch's published form; the highest register value.
@@ -36,8 +36,8 @@ NATS = 14.0
 FILTER_BITS = 1 << 24
 #: Partners of a node that meet one copy of its text.
 MEMBERS = 512
-#: Bytes of the texts' files to a partition in which they are sorted.
-PART_BYTES = 2 << 20
+#: Bytes of the texts to a partition in which they are sorted.
+PART_BYTES = 4 << 20
 #: Least sizes of the levels of differences: each about a seventh above the one before.
 LEVELS = [0]
 while LEVELS[-1] < 1 << 40:
@@ -46,7 +46,7 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
-SKETCH = "doc_id long, n_shingles long, words_id binary, registers binary, bands array<long>, key long"
+SKETCH = "doc_id long, n_shingles long, n_bytes long, words_id binary, registers binary, key long"
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -96,14 +96,10 @@ def merge_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(registers), REGISTERS // BAND), np.uint64)
-    out += np.arange(REGISTERS // BAND, dtype=np.uint64) + np.uint64(1)
-    r = registers.reshape(len(registers), -1, BAND).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(BAND):
-            out = mix64(out * _SEED + r[:, :, k])
-    return out.view(np.int64)
+def band_keys(registers: str) -> Column:
+    """A key for each band of a column of registers; kept nowhere, as keys are as long as the registers."""
+    width = BAND * 2
+    return F.array(*(F.xxhash64(F.lit(k), F.substring(registers, k * width + 1, width)) for k in range(REGISTERS // BAND)))
 
 
 def likely(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray, threshold: float) -> np.ndarray:
@@ -135,16 +131,14 @@ def likely(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray,
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words_id", pa.binary()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64())), ("key", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_bytes", pa.int64()), ("words_id", pa.binary()), ("registers", pa.binary()), ("key", pa.int64())])
         for ids, texts in text_blocks(batches, 1 << 19):
             texts = [t or b"" for t in texts]
             keys = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
             sets = shingle_sets(texts, width)
             regs = [registers_of(s) if len(s) else None for s in sets]
-            some = [r for r in regs if r is not None]
-            bands = iter(band_keys(np.array(some))) if some else iter(())
             words = [hashlib.md5(b"\x20".join(t.lower().split())).digest() if r is not None else None for t, r in zip(texts, regs)]
-            yield record_batch(schema, ids, [len(s) for s in sets], words, [None if r is None else r.tobytes() for r in regs], [None if r is None else next(bands) for r in regs], keys)
+            yield record_batch(schema, ids, [len(s) for s in sets], [len(t) for t in texts], words, [None if r is None else r.tobytes() for r in regs], keys)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, SKETCH)
 
@@ -166,7 +160,7 @@ def _probable(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _needed(docs: DataFrame, ids: DataFrame, width: int | None = None) -> DataFrame:
-    """The (id, text) that ids name: a filter of fixed size goes to the scan, the join does the rest.
+    """The (id, text) that ids name, and few others: a filter of fixed size goes to the scan, the caller's join does the rest.
 
     With a width the same map makes shingle sets of the texts, (id, s): a map of its own after this
     one would share its stage, and a task would keep two Python workers.
@@ -194,7 +188,7 @@ def _needed(docs: DataFrame, ids: DataFrame, width: int | None = None) -> DataFr
             yield record_batch(schema, keys, [x.view(np.int64) for x in shingle_sets([t or b"" for t in texts], width)])
 
     found = map_arrow(rows, named, "id long, text binary") if width is None else map_arrow(rows, sets, "id long, s array<long>")
-    return found.where("id is not null").join(ids, "id", "left_semi")
+    return found.where("id is not null")
 
 
 def _small(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[bytes]]:
@@ -210,20 +204,21 @@ def _small(rows: list[tuple], most: int = 1 << 19) -> Iterator[list[bytes]]:
         yield held
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union.
+def _confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have den * intersection >= num * union; sizes: (id, n_bytes) of texts.
 
     The text of b is sent once for every MEMBERS of its partners, in front of them, not with each:
     a node with very many partners is split into as many parts, and a task holds one set of b.
+    Where each text goes is settled on ids alone, so texts are shuffled twice only, by id and by part.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = staged(_needed(docs, ids))
     leads = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    dealt = pairs.join(leads, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
-    members = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
-    first = leads.join(texts.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("a"), "text")
-    parts = max(16, size_bytes(texts) // PART_BYTES)
-    met = first.unionByName(members).repartition(parts, "b", "part").sortWithinPartitions("b", "part", "side")
+    members = pairs.join(leads, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("a").alias("id"))
+    first = leads.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("id"))
+    routes = staged(first.unionByName(members))
+    sent = routes.groupBy("id").agg(F.count("*").alias("k")).join(sizes, "id").agg(F.sum(F.col("k") * F.col("n_bytes"))).first()[0]
+    texts = _needed(docs, routes.select("id").distinct())
+    met = routes.join(texts, "id").select("b", "part", "side", F.col("id").alias("a"), "text")
+    met = met.repartition(max(16, (sent or 0) // PART_BYTES), "b", "part").sortWithinPartitions("b", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -278,23 +273,27 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     |D|, so a node is listed once for each level of that, with a prefix as short as the level
     allows; copies that differ in places of their own then don't meet.
     """
-    texts = _needed(docs, members.select("id").distinct(), width).groupBy("id").agg(F.max("s").alias("s"))
+    ids = members.select("id").distinct()
+    texts = _needed(docs, ids, width).join(ids, "id", "left_semi").groupBy("id").agg(F.max("s").alias("s"))
     held = staged(members.join(texts, "id"))
     sizes = members.groupBy("g").agg(F.count("*").alias("size"))
-    common = held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("common"))
+    common = staged(held.select("g", F.explode("s").alias("e")).groupBy("g", "e").agg(F.count("*").alias("k")).join(sizes, "g").where("2 * k > size").groupBy("g").agg(F.collect_list("e").alias("common")))
 
     def apart_from(own, usual) -> tuple[int, np.ndarray]:
         own, usual = (np.zeros(0, np.int64) if x.as_py() is None else x.values.to_numpy(zero_copy_only=False) for x in (own, usual))
         own = np.unique(own)
         return len(own), np.concatenate([np.setdiff1d(own, usual), np.setdiff1d(usual, own)])
 
+    def f_and_level(n: int, d: np.ndarray) -> tuple[int, int]:
+        return (den - num) * n - (den + num) * len(d), int(np.searchsorted(LEVELS, len(d), side="right")) - 1
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("f", pa.int64()), ("own", pa.int32())])
         for batch in batches:
             rows = []
             for k in range(batch.num_rows):
                 n, d = apart_from(batch.column(3)[k], batch.column(4)[k])
-                rows.append((*(batch.column(i)[k].as_py() for i in range(3)), (den - num) * n - (den + num) * len(d), int(np.searchsorted(LEVELS, len(d), side="right")) - 1))
+                rows.append((*(batch.column(i)[k].as_py() for i in range(3)), *f_and_level(n, d)))
             if rows:
                 yield record_batch(schema, *zip(*rows))
 
@@ -302,8 +301,9 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
         names, out, held_ = ["g", "id", "c", "f", "own", "other", "e"], [], 0
         for batch in batches:
             for k in range(batch.num_rows):  # a row at a time: a long text's list is as long as the text
-                g, i, c, f, level, levels = (batch.column(n)[k].as_py() for n in (0, 1, 2, 5, 6, 7))
+                g, i, c, levels = (batch.column(n)[k].as_py() for n in (0, 1, 2, 5))
                 n, d = apart_from(batch.column(3)[k], batch.column(4)[k])
+                f, level = f_and_level(n, d)
                 slack = n * (den - num) / num  # (den - num) / (den + num) (|x| + |y|) at most, as |y| <= |x| den / num
                 lo, hi = (int(np.searchsorted(LEVELS, max(0.0, x), side="right")) - 1 for x in (len(d) - slack, len(d) + slack))
                 for other in range(lo, hi + 1):
@@ -318,19 +318,23 @@ def _apart(members: DataFrame, docs: DataFrame, width: int, num: int, den: int)
         if out:
             yield pa.concat_batches(out)
 
-    input_ = held.join(common, "g", "left").select("g", "id", "c", "s", "common")
-    size = staged(map_arrow(input_, measure, "g long, id long, c long, f long, own int"))
+    size = staged(map_arrow(held.join(common, "g", "left").select("g", "id", "c", "s", "common"), measure, "g long, id long, c long, f long, own int"))
     best = size.groupBy("g").agg(F.max_by(F.struct("id", "c", "f"), F.struct("f", -F.col("id"))).alias("t")).select("g", F.col("t.id").alias("b"), F.col("t.c").alias("cb"), F.col("t.f").alias("fb"))
     near = size.join(best, "g").where("c <> cb and f + fb >= 0").select(F.col("id").alias("a"), "b")
     # nodes of the best node's component are one already: they are listed only for levels at which there are others
     levels = size.join(best, "g").where("c <> cb").groupBy("g").agg(F.collect_set("own").alias("levels"))
-    listed = input_.join(size.select("g", "id", "f", "own"), ["g", "id"]).join(best.select("g", "cb"), "g").join(levels, "g")
-    listed = listed.select("g", "id", "c", "s", "common", "f", "own", F.when(F.col("c") == F.col("cb"), F.col("levels")).alias("levels"))
+    groups = staged(levels.join(best.select("g", "cb"), "g").join(common, "g", "left"))
+    listed = held.join(groups, "g").select("g", "id", "c", "s", "common", F.when(F.col("c") == F.col("cb"), F.col("levels")).alias("levels"))
     rows = staged(map_arrow(listed, differ, "g long, id long, c long, f long, own int, other int, e long"))
-    left = rows.select("g", "e", "own", "other", *(F.col(x).alias(x + "x") for x in ("id", "c", "f")))
-    right = rows.select("g", "e", F.col("other").alias("own"), F.col("own").alias("other"), *(F.col(x).alias(x + "y") for x in ("id", "c", "f")))
-    linked = left.join(right, ["g", "e", "own", "other"]).where("idx < idy and cx <> cy and fx + fy < 0").select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    return near.unionByName(linked).distinct()
+
+    x, y = ([F.col(n).alias(n + k) for n in ("id", "c", "f")] for k in "xy")
+    # nodes of different levels: the lower one's rows meet the higher one's, so that each row is sent once
+    lower = rows.where("own < other").select("g", "e", F.col("own").alias("lo"), F.col("other").alias("hi"), *x)
+    higher = rows.where("own > other").select("g", "e", F.col("other").alias("lo"), F.col("own").alias("hi"), *y)
+    level = rows.where("own = other").select("g", "e", "own", "id", "c", "f")
+    met = [lower.join(higher, ["g", "e", "lo", "hi"]), level.select("g", "e", "own", *x).join(level.select("g", "e", "own", *y), ["g", "e", "own"]).where("idx < idy")]
+    linked = [p.where("cx <> cy and fx + fy < 0").select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")) for p in met]
+    return near.unionByName(linked[0]).unionByName(linked[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -350,10 +354,10 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     threshold = num / den
     every = staged(sketches(docs, width))
     some = every.where("words_id is not null and doc_id is not null")
-    nodes = staged(some.groupBy("words_id").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("r"), F.any_value("bands").alias("bands")))
-    member = nodes.select("id", "n", F.explode("bands").alias("key"))
-    sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = staged(member.join(sizes, "key"))
+    nodes = staged(some.groupBy("words_id").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.max("n_bytes").alias("n_bytes"), F.any_value("registers").alias("r")))
+    member = nodes.select("id", "n", F.explode(band_keys("r")).alias("key"))
+    bucket = staged(member.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
+    sizes = nodes.select("id", "n_bytes")
     central = bucket.groupBy("id").agg(F.sum("size").alias("central"))
     leaders = bucket.join(central, "id").groupBy("key").agg(F.max_by(F.struct(F.col("id"), F.col("n")), F.struct("central", -F.col("id"))).alias("top"))
     leaders = leaders.select("key", F.col("top.id").alias("b"), F.col("top.n").alias("nb"))
@@ -362,7 +366,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def links(pairs: DataFrame) -> DataFrame:
         ra = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
         rb = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-        return staged(_confirmed(staged(_probable(pairs.join(ra, "a").join(rb, "b"), threshold).distinct()), docs, width, num, den))
+        return staged(_confirmed(staged(_probable(pairs.join(ra, "a").join(rb, "b"), threshold).distinct()), docs, sizes, width, num, den))
 
     led = bucket.select(F.col("id").alias("a"), F.col("n").alias("na"), "key").join(leaders, "key")
     first = links(led.where(sized & (F.col("a") != F.col("b"))).select("a", "b").distinct())
@@ -372,7 +376,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     others = rooted.join(leaders.select("key", "b"), "key").where("id <> b")
     mixed = others.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     members = staged(others.join(mixed, "key").select(F.col("b").alias("g"), "id", "c").distinct())
-    second = staged(_confirmed(staged(_apart(members, docs, width, num, den)), docs, width, num, den))
+    second = staged(_confirmed(staged(_apart(members, docs, width, num, den)), docs, sizes, width, num, den))
     roots = connected_components(first.unionByName(second))
     names = nodes.select("words_id", "id").join(roots.select(F.col("node").alias("id"), "component"), "id", "left").groupBy("words_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
     out = every.select("doc_id", "n_shingles", "words_id", "key").join(names, "words_id", "left")
